@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,12 +67,10 @@ def measured_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    rows = [
-        part.filter(condition).select(F.expr(fx.sql_text(path)).alias("path"))
-        for condition, path in fx.LISTING
-    ]
-    return reduce(DataFrame.union, rows)
+    paths = F.array(
+        *[F.when(F.expr(condition), F.expr(fx.sql_text(path))) for condition, path in fx.LISTING]
+    )
+    return table(spark, sf_dir, "part").select(F.explode(F.array_compact(paths)).alias("path"))
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +191,7 @@ def units_per_file(spark, sf_dir):
 def discovery_summary(spark, sf_dir):
     stored = materialize(all_units(spark, sf_dir), "units")
     found = discovery.retrieve_candidates(units.last_units(stored))
-    files = units.file_summary(stored).select(F.lit(1).alias("run"), "*")
-    totals = units.candidate_summary(found).select(F.lit(1).alias("run"), "*")
-    return files.join(totals, "run").drop("run")
+    return units.discovery_summary(stored, found)
 
 
 @query

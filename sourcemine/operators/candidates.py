@@ -15,14 +15,10 @@ COLUMNS = ("repo", "name", "kind", "path", "line", "method", "class_code", "code
 def function_candidates(units: DataFrame) -> DataFrame:
     """One pass: the map side keeps one row per name before anything is shuffled,
     so a name that fills a third of the table reaches its reducer as a row per task."""
-    winner = F.max_by(
-        F.struct("path", "line", "code"),
-        F.struct("path", "line"),
-    )
     return (
         units.filter(F.col("kind") == "function")
         .groupBy("repo", "name")
-        .agg(winner.alias("winner"))
+        .agg(F.max(F.struct("path", "line", "code")).alias("winner"))
         .select(
             "repo",
             "name",
@@ -40,11 +36,11 @@ def method_winners(units: DataFrame) -> DataFrame:
     """Keys only: which class of which file supplies each ``Class.method``."""
     keys = (
         units.filter(F.col("kind") == "class")
-        .select("repo", "path", "name", F.col("line").alias("class_line"), F.explode("methods").alias("m"))
+        .select("repo", "path", "name", F.col("line").alias("class_line"), F.posexplode("methods").alias("pos", "m"))
         .select(
             "repo",
             F.concat_ws(".", "name", "m.name").alias("name"),
-            F.struct("path", F.col("m.line").alias("line"), "class_line").alias("place"),
+            F.struct("path", F.col("m.line").alias("line"), "class_line", "pos").alias("place"),
         )
     )
     return (
@@ -66,10 +62,8 @@ def method_candidates(units: DataFrame) -> DataFrame:
         "path",
         F.col("line").alias("class_line"),
         F.col("code").alias("class_code"),
-        "methods",
         "method_code",
     )
-    at = F.array_position(F.transform("methods", lambda m: m["line"]), F.col("line"))
     return classes.join(winners, ["repo", "path", "class_line"]).select(
         "repo",
         "name",
@@ -78,7 +72,7 @@ def method_candidates(units: DataFrame) -> DataFrame:
         "line",
         F.substring_index("name", ".", -1).alias("method"),
         "class_code",
-        F.get("method_code", (at - 1).cast("int")).alias("code"),
+        F.get("method_code", F.col("pos")).alias("code"),
     )
 
 

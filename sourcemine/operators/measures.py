@@ -6,45 +6,123 @@ import ast
 import io
 import tokenize
 
-_SILENT_TOKENS = {
-    tokenize.COMMENT,
-    tokenize.NL,
-    tokenize.NEWLINE,
-    tokenize.INDENT,
-    tokenize.DEDENT,
-    tokenize.ENDMARKER,
-}
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BRANCHES = (ast.If, ast.IfExp, ast.Assert, ast.ExceptHandler)
-_LOOPS = (ast.For, ast.AsyncFor, ast.While)
+_BLANK_TOKENS = frozenset({tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER})
+# Nodes without anything to count below them.
+_LEAVES = frozenset({ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.alias})
 
 
 class LineFacts:
     """Which lines of a file hold code, a comment, or a free-standing text."""
 
-    def __init__(self, text: str, tree: ast.Module):
-        texts: set[int] = set()
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant):
-                if isinstance(node.value.value, str):
-                    texts.update(range(node.lineno, node.end_lineno + 1))
-        code: set[int] = set()
-        comments: set[int] = set()
-        for token in tokenize.generate_tokens(io.StringIO(text).readline):
-            if token.type == tokenize.COMMENT:
-                comments.add(token.start[0])
-            elif token.type not in _SILENT_TOKENS:
-                code.update(range(token.start[0], token.end[0] + 1))
-        self.code = code - texts
-        self.comments = comments | texts
+    def __init__(self, text: str):
+        self.code: set[int] = set()
+        self.comments: set[int] = set()
+        statement: list[tuple[int, int, int]] = []
+        for kind, _, (start, _), (end, _), _ in tokenize.generate_tokens(io.StringIO(text).readline):
+            if kind == tokenize.COMMENT:
+                self.comments.add(start)
+            elif kind == tokenize.NEWLINE:
+                # A statement of nothing but string tokens is a text, such as a docstring.
+                only_text = all(part[0] == tokenize.STRING for part in statement)
+                lines = self.comments if only_text else self.code
+                for _, first, last in statement:
+                    lines.update(range(first, last + 1))
+                statement = []
+            elif kind not in _BLANK_TOKENS:
+                statement.append((kind, start, end))
 
     def count(self, node: ast.stmt) -> tuple[int, float]:
-        lines = range(node.lineno, node.end_lineno + 1)
-        code = sum(line in self.code for line in lines)
-        comments = sum(line in self.comments for line in lines)
+        lines = set(range(node.lineno, node.end_lineno + 1))
+        code = len(lines & self.code)
+        comments = len(lines & self.comments)
         return code, (100.0 * comments / code if code else 0.0)
 
 
+class _Tally:
+    """Operators and operands after Halstead, decisions after McCabe."""
+
+    def __init__(self):
+        self.operators: list[str] = []
+        self.operands: list[ast.expr] = []
+        self.decisions = 0
+        self.functions = 0
+
+    def binary(self, node: ast.BinOp) -> None:
+        self.operators.append(type(node.op).__name__)
+        self.operands += [node.left, node.right]
+
+    def augmented(self, node: ast.AugAssign) -> None:
+        self.operators.append(type(node.op).__name__)
+        self.operands += [node.target, node.value]
+
+    def unary(self, node: ast.UnaryOp) -> None:
+        self.operators.append(type(node.op).__name__)
+        self.operands.append(node.operand)
+
+    def boolean(self, node: ast.BoolOp) -> None:
+        self.operators.append(type(node.op).__name__)
+        self.operands += node.values
+        self.decisions += len(node.values) - 1
+
+    def comparison(self, node: ast.Compare) -> None:
+        self.operators += [type(op).__name__ for op in node.ops]
+        self.operands += [node.left, *node.comparators]
+
+    def function(self, _node: ast.stmt) -> None:
+        self.functions += 1
+
+    def branch(self, _node: ast.AST) -> None:
+        self.decisions += 1
+
+    def loop(self, node: ast.For | ast.AsyncFor | ast.While) -> None:
+        self.decisions += 1 + bool(node.orelse)
+
+    def case(self, node: ast.match_case) -> None:
+        wildcard = isinstance(node.pattern, ast.MatchAs) and node.pattern.pattern is None
+        self.decisions += not wildcard or node.guard is not None
+
+    def comprehension(self, node: ast.comprehension) -> None:
+        self.decisions += 1 + len(node.ifs)
+
+
+_RULES = {
+    ast.BinOp: _Tally.binary,
+    ast.AugAssign: _Tally.augmented,
+    ast.UnaryOp: _Tally.unary,
+    ast.BoolOp: _Tally.boolean,
+    ast.Compare: _Tally.comparison,
+    ast.FunctionDef: _Tally.function,
+    ast.AsyncFunctionDef: _Tally.function,
+    ast.If: _Tally.branch,
+    ast.IfExp: _Tally.branch,
+    ast.Assert: _Tally.branch,
+    ast.ExceptHandler: _Tally.branch,
+    ast.For: _Tally.loop,
+    ast.AsyncFor: _Tally.loop,
+    ast.While: _Tally.loop,
+    ast.match_case: _Tally.case,
+    ast.comprehension: _Tally.comprehension,
+}
+
+
+def _tally(root: ast.AST) -> _Tally:
+    found = _Tally()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        kind = type(node)
+        rule = _RULES.get(kind)
+        if rule is not None:
+            rule(found, node)
+        for name in kind._fields:
+            value = getattr(node, name, None)
+            if type(value) is list:
+                stack += [v for v in value if isinstance(v, ast.AST) and type(v) not in _LEAVES]
+            elif isinstance(value, ast.AST) and type(value) not in _LEAVES and value._fields:
+                stack.append(value)
+    return found
+
+
 def _operand_key(operand: ast.expr):
     if isinstance(operand, ast.Name):
         return "name", operand.id
@@ -56,45 +134,14 @@ def _operand_key(operand: ast.expr):
 
 
 def measure(node: ast.stmt, facts: LineFacts) -> dict:
-    """Operators and operands after Halstead, decisions after McCabe, lines."""
-    operators: list[str] = []
-    operands: list = []
-    decisions = functions = 0
-    for part in ast.walk(node):
-        if isinstance(part, ast.BinOp):
-            operators.append(type(part.op).__name__)
-            operands += [part.left, part.right]
-        elif isinstance(part, ast.AugAssign):
-            operators.append(type(part.op).__name__)
-            operands += [part.target, part.value]
-        elif isinstance(part, ast.UnaryOp):
-            operators.append(type(part.op).__name__)
-            operands.append(part.operand)
-        elif isinstance(part, ast.BoolOp):
-            operators.append(type(part.op).__name__)
-            operands += part.values
-            decisions += len(part.values) - 1
-        elif isinstance(part, ast.Compare):
-            operators += [type(op).__name__ for op in part.ops]
-            operands += [part.left, *part.comparators]
-        elif isinstance(part, _FUNCTIONS):
-            functions += 1
-        elif isinstance(part, _BRANCHES):
-            decisions += 1
-        elif isinstance(part, _LOOPS):
-            decisions += 1 + bool(part.orelse)
-        elif isinstance(part, ast.match_case):
-            wildcard = isinstance(part.pattern, ast.MatchAs) and part.pattern.pattern is None
-            decisions += not wildcard or part.guard is not None
-        elif isinstance(part, ast.comprehension):
-            decisions += 1 + len(part.ifs)
+    found = _tally(node)
     sloc, comment_pct = facts.count(node)
     return {
-        "n_operators": len(operators),
-        "n_operands": len(operands),
-        "u_operators": len(set(operators)),
-        "u_operands": len({_operand_key(operand) for operand in operands}),
-        "complexity": max(functions, 1) + decisions,
+        "n_operators": len(found.operators),
+        "n_operands": len(found.operands),
+        "u_operators": len(set(found.operators)),
+        "u_operands": len({_operand_key(operand) for operand in found.operands}),
+        "complexity": max(found.functions, 1) + found.decisions,
         "sloc": sloc,
         "comment_pct": comment_pct,
     }

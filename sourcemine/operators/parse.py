@@ -44,7 +44,7 @@ def parse_source(text: str, with_counts: bool = False) -> list[dict]:
     facts, facts_error = None, None
     if with_counts:
         try:
-            facts = LineFacts(text, tree)
+            facts = LineFacts(text)
         except Exception as error:  # noqa: BLE001 - an unmeasured unit is kept, not lost
             facts_error = f"{type(error).__name__}: {error}"
     units = []

@@ -79,19 +79,22 @@ def units_per_file(parsed: DataFrame) -> DataFrame:
     )
 
 
-def file_summary(units: DataFrame) -> DataFrame:
-    """Totals over ``code_units``."""
-    return units.agg(
-        F.count_if(F.col("pos") == 0).alias("files_scanned"), F.count("error").alias("files_failed")
-    )
-
-
-def candidate_summary(candidates: DataFrame) -> DataFrame:
-    return candidates.agg(
-        F.count_if(F.col("kind") == "function").alias("functions_found"),
-        F.count_if(F.col("kind") == "method").alias("methods_found"),
-        F.count("*").alias("candidates"),
-    )
+def discovery_summary(units: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row of totals over ``code_units`` and the candidates made of them."""
+    names = ["files_scanned", "files_failed", "functions_found", "methods_found", "candidates"]
+    of_files = [F.col("pos") == 0, F.col("error").isNotNull(), *[F.lit(False)] * 3]
+    of_candidates = [
+        *[F.lit(False)] * 2,
+        F.col("kind") == "function",
+        F.col("kind") == "method",
+        F.lit(True),
+    ]
+
+    def totals(rows: DataFrame, flags: list) -> DataFrame:
+        return rows.agg(*[F.count_if(flag).alias(name) for flag, name in zip(flags, names)])
+
+    both = totals(units, of_files).union(totals(candidates, of_candidates))
+    return both.agg(*[F.sum(name).alias(name) for name in names])
 
 
 def count_targets(units: DataFrame) -> int:
