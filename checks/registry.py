@@ -286,7 +286,7 @@ def template_lookup(spark, sf_dir):
 @query
 def docs_block(spark, sf_dir):
     body = F.when(F.col("doc_id") % 7 != 3, F.expr(fx.MARKDOWN))
-    return prompts.docs_blocks(_documents(table(spark, sf_dir, "documents"), "doc_id", body))
+    return prompts.docs_blocks(_documents(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", body))
 
 
 @query
@@ -312,7 +312,7 @@ def method_candidates(spark, sf_dir):
 
 @query
 def md_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", text.clean_markdown(F.expr(fx.MARKDOWN)).alias("cleaned")
     )
 

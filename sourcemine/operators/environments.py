@@ -49,18 +49,19 @@ def environment_roots(listing: DataFrame, scan_root: str | None = None) -> DataF
 def prune_environments(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Drop every file below an environment.
 
-    Ancestors are taken of distinct directories, not of files.  The set of
-    pruned directories is written first, so the planner knows its true size:
-    it is broadcast when small, and otherwise joined on ``dir``, where adaptive
-    execution splits the partition of a directory that holds many files.
+    Ancestors are taken of distinct directories, not of files.  The roots and
+    the pruned directories are written first, so the planner knows their true
+    sizes: each is broadcast when small.  Otherwise adaptive execution splits
+    the partition of a directory that is above, or around, very many others.
     """
     keys = _tree_key(files)
+    known = materialize(roots, "environment-roots")
     located = files.withColumn("dir", text_rules.parent_dir(F.col("path")))
     pruned = (
         located.select(*keys, "dir")
         .distinct()
         .withColumn("above", F.explode(text_rules.ancestor_dirs(F.col("dir"))))
-        .join(roots.withColumnRenamed("dir", "above"), [*keys, "above"], "left_semi")
+        .join(known.withColumnRenamed("dir", "above"), [*keys, "above"], "left_semi")
         .select(*keys, "dir")
         .distinct()
     )

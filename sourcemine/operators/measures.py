@@ -4,38 +4,58 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 
-_BLANK_TOKENS = frozenset({tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER})
 # Nodes without anything to count below them.
 _LEAVES = frozenset({ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.alias})
 
+# Comments, and the strings that have to be passed over to find them.
+_COMMENT_OR_STRING = re.compile(
+    r"""
+    (?P<comment>\#[^\n]*)
+    | \'\'\'[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+\'\'\'
+    | \"\"\"[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+\"\"\"
+    | '[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'
+    | "[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"
+    """,
+    re.VERBOSE | re.DOTALL,
+)
+# An f-string may hold quotes of its own kind: a # on its line needs the tokenizer.
+_HASH_AFTER_FSTRING = re.compile(r"[fF][rR]?['\"][^\n]*\#")
+
+
+def _without_comments(text: str) -> str:
+    if "#" not in text:
+        return text
+    if not _HASH_AFTER_FSTRING.search(text):
+        return _COMMENT_OR_STRING.sub(lambda m: "" if m["comment"] else m[0], text)
+    lines = text.split("\n")
+    for token in tokenize.generate_tokens(io.StringIO(text).readline):
+        if token.type == tokenize.COMMENT:
+            row, column = token.start
+            lines[row - 1] = lines[row - 1][:column]
+    return "\n".join(lines)
+
 
 class LineFacts:
-    """Which lines of a file hold code, a comment, or a free-standing text."""
+    """Per line of a file: does it hold code, does it hold a comment."""
 
     def __init__(self, text: str):
-        self.code: set[int] = set()
-        self.comments: set[int] = set()
-        statement: list[tuple[int, int, int]] = []
-        for kind, _, (start, _), (end, _), _ in tokenize.generate_tokens(io.StringIO(text).readline):
-            if kind == tokenize.COMMENT:
-                self.comments.add(start)
-            elif kind == tokenize.NEWLINE:
-                # A statement of nothing but string tokens is a text, such as a docstring.
-                only_text = all(part[0] == tokenize.STRING for part in statement)
-                lines = self.comments if only_text else self.code
-                for _, first, last in statement:
-                    lines.update(range(first, last + 1))
-                statement = []
-            elif kind not in _BLANK_TOKENS:
-                statement.append((kind, start, end))
-
-    def count(self, node: ast.stmt) -> tuple[int, float]:
-        lines = set(range(node.lineno, node.end_lineno + 1))
-        code = len(lines & self.code)
-        comments = len(lines & self.comments)
-        return code, (100.0 * comments / code if code else 0.0)
+        bare = _without_comments(text).split("\n")
+        self.code = bytes(bool(line) and not line.isspace() for line in bare)
+        self.comments = bytes(line != kept for line, kept in zip(text.split("\n"), bare))
+
+    def count(self, node: ast.stmt, texts: list[ast.Expr]) -> tuple[int, float]:
+        """Code lines and comment percentage of a unit.  Free-standing texts, such
+        as docstrings, are comments in all their lines."""
+        span = slice(node.lineno - 1, node.end_lineno)
+        code, comments = sum(self.code[span]), sum(self.comments[span])
+        for text in texts:
+            lines = slice(text.lineno - 1, text.end_lineno)
+            code -= sum(self.code[lines])
+            comments += self.comments[lines].count(0)
+        return code, (100.0 * comments / code if code > 0 else 0.0)
 
 
 class _Tally:
@@ -44,6 +64,7 @@ class _Tally:
     def __init__(self):
         self.operators: list[str] = []
         self.operands: list[ast.expr] = []
+        self.texts: list[ast.Expr] = []
         self.decisions = 0
         self.functions = 0
 
@@ -68,6 +89,10 @@ class _Tally:
         self.operators += [type(op).__name__ for op in node.ops]
         self.operands += [node.left, *node.comparators]
 
+    def statement(self, node: ast.Expr) -> None:
+        if isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+            self.texts.append(node)
+
     def function(self, _node: ast.stmt) -> None:
         self.functions += 1
 
@@ -91,6 +116,7 @@ _RULES = {
     ast.UnaryOp: _Tally.unary,
     ast.BoolOp: _Tally.boolean,
     ast.Compare: _Tally.comparison,
+    ast.Expr: _Tally.statement,
     ast.FunctionDef: _Tally.function,
     ast.AsyncFunctionDef: _Tally.function,
     ast.If: _Tally.branch,
@@ -135,7 +161,7 @@ def _operand_key(operand: ast.expr):
 
 def measure(node: ast.stmt, facts: LineFacts) -> dict:
     found = _tally(node)
-    sloc, comment_pct = facts.count(node)
+    sloc, comment_pct = facts.count(node, found.texts)
     return {
         "n_operators": len(found.operators),
         "n_operands": len(found.operands),

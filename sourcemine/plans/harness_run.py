@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -18,6 +19,7 @@ from sourcemine.operators.prompts import docs_text, lookup_template, render_prom
 from sourcemine.operators.units import count_targets
 from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units
 from sourcemine.sinks.tables import append_failures, replace_table
+from sourcemine.storage import text_batches
 
 
 @dataclass(frozen=True)
@@ -41,10 +43,6 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _docs_and_template(docs: DataFrame, block: str, template: str) -> dict:
-    return {"template": F.lit(template), "docs": docs_text(docs, block)}
-
-
 def _write_candidates(candidates: DataFrame, path: str, waves: int) -> DataFrame:
     """Candidates in one folder per wave; a name belongs to a wave by its hash."""
     wave = F.pmod(F.xxhash64("repo", "name"), F.lit(waves)).cast("int")
@@ -72,7 +70,8 @@ def _complete_missing(
         if known is not None:
             asked = asked.join(known.select(*keys), keys, "left_anti")
         prompts = render_prompts(asked.repartition(workers, "repo", "name"), **texts)
-        complete(prompts, **options).write.mode("append").parquet(path)
+        with text_batches(spark):
+            complete(prompts, **options).write.mode("append").parquet(path)
     answers = spark.read.schema(schemas.COMPLETIONS).parquet(path)
     if known is None:
         return answers
@@ -99,9 +98,9 @@ def run(
 ) -> RunResult:
     """Everything below ``output/<table>/job=<job>``; the same job can be run again.
 
-    ``source_files`` has ``repo, path, content`` and optionally ``error``.  Each
-    ``repo`` is one tree with its own names and its own run label.  ``workers``
-    is the number of calls in flight.
+    ``source_files`` has ``repo, path, content`` and optionally ``error``; a path
+    is there once per ``repo``.  Each ``repo`` is one tree with its own names and
+    its own run label.  ``workers`` is the number of calls in flight.
     """
     workers = workers or spark.sparkContext.defaultParallelism
     at = F.lit((ts or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
@@ -124,7 +123,7 @@ def run(
             f"{output}/fatal",
         )
         raise
-    texts = _docs_and_template(docs, docs_block, settings["template"])
+    texts = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
 
     units = replace_table(parsed_units(source_files, smell), place("units"))
     wanted = scored_units(units, smell)
@@ -152,4 +151,16 @@ def run(
     )
     harnesses = replace_table(outcomes.accepted(answers), place("harnesses"))
     failures = replace_table(outcomes.rejected(answers, at), place("failures"))
+    # Which syntax counts as an error depends on the parser's version.
+    replace_table(
+        spark.range(1).select(
+            at.alias("ts"),
+            F.lit(prompt_id).alias("prompt_id"),
+            F.lit(model).alias("model"),
+            F.lit(settings["temperature"]).alias("temperature"),
+            F.lit(smell).alias("smell"),
+            F.lit(platform.python_version()).alias("python_version"),
+        ),
+        place("runs"),
+    )
     return RunResult(units, candidates, completions, harnesses, failures)

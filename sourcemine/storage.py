@@ -4,11 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 
+# Rows per Arrow batch where a row is a whole file or a whole prompt.  Spark's
+# own default of 10,000 such rows would be gigabytes in one Python worker.
+TEXT_ROWS_PER_BATCH = 256
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for the jobs that start inside."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, TEXT_ROWS_PER_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
@@ -41,7 +59,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     planner knows the real size when it picks a join.
     """
     path = new_scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with text_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,13 +1,17 @@
 """The maintainability index and its counts."""
 
 import ast
+import io
 import math
 import random
+import sysconfig
+import tokenize
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from sourcemine.functions import score
-from sourcemine.operators.measures import LineFacts, measure
+from sourcemine.operators.measures import LineFacts, _without_comments, measure
 
 
 def counts(text):
@@ -84,3 +88,25 @@ def test_threshold_is_strict_and_missing_scores_drop(spark):
     )
     rows = df.select(score.is_hard_to_maintain(F.col("mi"), F.col("failed"))).collect()
     assert [r[0] for r in rows] == [True, False, False, True, True]
+
+
+def _cut_by_tokens(text):
+    lines = text.split("\n")
+    for token in tokenize.generate_tokens(io.StringIO(text).readline):
+        if token.type == tokenize.COMMENT:
+            lines[token.start[0] - 1] = lines[token.start[0] - 1][: token.start[1]]
+    return "\n".join(lines)
+
+
+def test_comments_equal_the_tokenizers_over_the_standard_library():
+    paths = sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))
+    random.Random(11).shuffle(paths)
+    for path in paths[:60]:
+        text = path.read_text(encoding="utf-8")
+        assert _without_comments(text) == _cut_by_tokens(text), path
+
+
+def test_comment_signs_in_strings():
+    text = "a = '#'  # one\nb = \"\"\"x # y\n# z \\\"\"\" # w\n\"\"\"  # two\nc = f'{a[\'#\']}'  # three\nd = '\\'#'\n# four\n"
+    text = text.replace("a[\\'#\\']", "a['#']")
+    assert _without_comments(text) == _cut_by_tokens(text)

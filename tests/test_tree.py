@@ -126,3 +126,30 @@ def test_wide_and_deep_tree(spark, tmp_path):
     rows = list_tree(spark, str(tmp_path))
     assert rows.count() == len(files)
     assert rows.agg(F.sum("size")).first()[0] == sum(len(t) for t in files.values())
+
+
+def test_hot_directory_is_split_when_nothing_is_small(spark):
+    """A third of the files in one directory, broadcast ruled out."""
+    paths = [f"/t/hot/f{i}.py" for i in range(4000)] + [f"/t/d{i}/f.py" for i in range(8000)]
+    for i in range(0, 8000, 5):
+        paths += [f"/t/d{i}/pyvenv.cfg", f"/t/d{i}/bin/python", f"/t/d{i}/lib/g.py"]
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        listing = spark.createDataFrame([(p,) for p in paths], "path string").repartition(16)
+        roots = env.environment_roots(listing, "/t")
+        kept = env.prune_environments(env.python_files(listing), roots)
+        rows = kept.collect()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(rows) == 4000 + 8000 - 1600
+    assert "SortMergeJoin(skew=true)" in plan
