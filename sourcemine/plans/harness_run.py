@@ -48,25 +48,29 @@ def _write_candidates(candidates: DataFrame, path: str, waves: int) -> DataFrame
     wave = F.pmod(F.xxhash64("repo", "name"), F.lit(waves)).cast("int")
     waved = candidates.withColumn("wave", wave)
     if waves > 1:
+        # Full files per folder: tasks are regrouped by wave, large waves split.
         waved = waved.hint("rebalance", "wave")
     waved.write.mode("overwrite").partitionBy("wave").parquet(path)
     return candidates.sparkSession.read.schema(waved.schema).parquet(path)
 
 
 def _complete_missing(
-    candidates: DataFrame, path: str, waves: int, workers: int, texts: dict, **options
+    candidates: DataFrame, path: str, calls_per_job: int, workers: int, texts: dict, **options
 ) -> DataFrame:
     """Answers to all candidates; a restarted job asks only for what it lacks.
 
-    Each wave is one committed append: a lost executor repeats the calls of its
-    tasks, a lost driver those of one wave.  Prompts are rendered behind the
-    last shuffle, and the lookup of known answers compares digests only.
+    Each job of some waves is one committed append: a lost executor repeats the
+    calls of its tasks, a lost driver those of one job.  The waves were planned
+    before names were deduplicated, so several may fit into one job.  Prompts
+    are rendered behind the last shuffle, and the lookup of known answers
+    compares digests only.
     """
     spark = candidates.sparkSession
     keys = ["repo", "name", "prompt_sha"]
     known = _stored(spark, path)
-    for wave in range(waves):
-        asked = candidates.filter(F.col("wave") == wave)
+    jobs = max(1, -(-candidates.count() // calls_per_job))
+    for job in range(jobs):
+        asked = candidates.filter(F.col("wave") % jobs == job)
         if known is not None:
             asked = asked.join(known.select(*keys), keys, "left_anti")
         prompts = render_prompts(asked.repartition(workers, "repo", "name"), **texts)
@@ -127,7 +131,8 @@ def run(
 
     units = replace_table(parsed_units(source_files, smell), place("units"))
     wanted = scored_units(units, smell)
-    waves = max(1, -(-count_targets(wanted) // (workers * calls_per_task)))
+    calls_per_job = workers * calls_per_task
+    waves = max(1, -(-count_targets(wanted) // calls_per_job))
     candidates = _write_candidates(
         with_prompt_sha(render_prompts(retrieve_candidates(wanted), **texts)).drop("prompt"),
         place("candidates"),
@@ -136,7 +141,7 @@ def run(
     completions = _complete_missing(
         candidates,
         place("completions"),
-        waves,
+        calls_per_job,
         workers,
         texts,
         client_factory=client_factory,
