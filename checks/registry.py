@@ -52,7 +52,7 @@ def all_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(units.last_units(all_units(spark, sf_dir)), "units")
+    return materialize(units.last_units(all_units(spark, sf_dir)), "units", by="kind")
 
 
 def measured_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,17 +80,15 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(rows: DataFrame, key: str, body: F.Column) -> DataFrame:
+    """Neighbouring rows as the two documents of a block."""
     slot = F.col(key) % len(fixed.DOC_KEYS)
-
-    def by_slot(values: tuple[str, ...]):
-        return F.when(slot == 0, F.lit(values[0])).otherwise(F.lit(values[1]))
-
-    return rows.select(
-        (F.col(key) - slot).cast("string").alias("block"),
-        by_slot(fixed.DOC_KEYS).alias("doc_key"),
-        by_slot(fixed.DOC_TITLES).alias("title"),
-        F.lit(fixed.DOC_INTRO).alias("intro"),
-        body.alias("body"),
+    doc_key = F.when(slot == 0, F.lit(fixed.DOC_KEYS[0])).otherwise(F.lit(fixed.DOC_KEYS[1]))
+    return prompts.with_titles(
+        rows.select(
+            (F.col(key) - slot).cast("string").alias("block"),
+            doc_key.alias("doc_key"),
+            body.alias("body"),
+        )
     )
 
 
@@ -189,7 +187,7 @@ def units_per_file(spark, sf_dir):
 
 @query
 def discovery_summary(spark, sf_dir):
-    stored = materialize(all_units(spark, sf_dir), "units")
+    stored = materialize(all_units(spark, sf_dir), "units", by="kind")
     found = discovery.retrieve_candidates(units.last_units(stored))
     return units.discovery_summary(stored, found)
 

@@ -35,6 +35,14 @@ def resolve_templates(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def with_titles(documents: DataFrame) -> DataFrame:
+    """Documents (``block, doc_key, body``) with the usual titles and introduction."""
+    title = F.lit(None).cast("string")
+    for key, value in zip(fixed.DOC_KEYS, fixed.DOC_TITLES):
+        title = F.when(F.col("doc_key") == key, F.lit(value)).otherwise(title)
+    return documents.withColumn("title", title).withColumn("intro", F.lit(fixed.DOC_INTRO))
+
+
 def docs_blocks(documents: DataFrame) -> DataFrame:
     """One docs block per ``block``: two cleaned, bannered documents.
 

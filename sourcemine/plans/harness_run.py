@@ -18,8 +18,8 @@ from sourcemine.operators.completion import ClientFactory, complete, with_prompt
 from sourcemine.operators.prompts import docs_text, lookup_template, render_prompts
 from sourcemine.operators.units import count_targets
 from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units
-from sourcemine.sinks.tables import append_failures, replace_table
-from sourcemine.storage import text_batches
+from sourcemine.sinks.tables import append_failures
+from sourcemine.storage import text_batches, write_table
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def run(
         raise
     texts = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
 
-    units = replace_table(parsed_units(source_files, smell), place("units"))
+    units = write_table(parsed_units(source_files, smell), place("units"), by="kind")
     wanted = scored_units(units, smell)
     calls_per_job = workers * calls_per_task
     waves = max(1, -(-count_targets(wanted) // calls_per_job))
@@ -154,10 +154,10 @@ def run(
         "name",
         text_rules.first_choice(F.col("choices")).alias("response"),
     )
-    harnesses = replace_table(outcomes.accepted(answers), place("harnesses"))
-    failures = replace_table(outcomes.rejected(answers, at), place("failures"))
+    harnesses = write_table(outcomes.accepted(answers), place("harnesses"))
+    failures = write_table(outcomes.rejected(answers, at), place("failures"))
     # Which syntax counts as an error depends on the parser's version.
-    replace_table(
+    write_table(
         spark.range(1).select(
             at.alias("ts"),
             F.lit(prompt_id).alias("prompt_id"),

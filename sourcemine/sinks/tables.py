@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sourcemine.storage import text_batches
-
 EXPORTED = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -24,13 +22,6 @@ EXPORTED = T.StructType(
 )
 
 
-def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a table that belongs to one job.  A second attempt replaces the first."""
-    with text_batches(df.sparkSession):
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def append_failures(failures: DataFrame, path: str) -> None:
     """Add to the failure report, which outlives a run; one folder per run."""
     failures.write.mode("append").partitionBy("run_id").parquet(path)

@@ -15,17 +15,24 @@ _local_scratch: dict[str, str] = {}
 # own default of 10,000 such rows would be gigabytes in one Python worker.
 TEXT_ROWS_PER_BATCH = 256
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+WRITERS_SETTING = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 @contextmanager
-def text_batches(spark: SparkSession) -> Iterator[None]:
-    """Small Arrow batches for the jobs that start inside."""
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, TEXT_ROWS_PER_BATCH)
+def _settings(spark: SparkSession, values: dict[str, int]) -> Iterator[None]:
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_SETTING, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def text_batches(spark: SparkSession):
+    """Small Arrow batches for the jobs that start inside."""
+    return _settings(spark, {BATCH_SETTING: TEXT_ROWS_PER_BATCH})
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,17 +58,28 @@ def new_scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/sourcemine/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+def write_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """Write a table that belongs to one job and read it back.
+
+    A second attempt replaces the first.  ``by`` is a column of a few values
+    that readers choose from: each value gets files of its own, written side
+    by side, without the sort that a partitioned write would otherwise add.
+    """
+    spark = df.sparkSession
+    writer = df.write.mode("overwrite")
+    with text_batches(spark), _settings(spark, {WRITERS_SETTING: 8 if by else 0}):
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``write_table`` to the scratch folder.
 
     The costly stage before it then runs once however many readers follow,
     lost executors do not bring it back, readers prune columns, and the
     planner knows the real size when it picks a join.
     """
-    path = new_scratch_path(df.sparkSession, label)
-    with text_batches(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_table(df, new_scratch_path(df.sparkSession, label), by)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

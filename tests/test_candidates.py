@@ -16,7 +16,7 @@ EASY = "def {name}(x, y):\n    return x\n"
 
 def stored(files, texts, smell=False):
     units = discovery.parsed_units(files(texts), smell)
-    return materialize(discovery.scored_units(units, smell), "test-units")
+    return materialize(discovery.scored_units(units, smell), "test-units", by="kind")
 
 
 def winners(df):
@@ -164,7 +164,7 @@ def test_method_keys_do_not_read_texts(files):
 
 def test_parse_errors_and_totals(files):
     texts = {"a.py": "def f(): pass\n", "b.py": "def (", "c.py": "x = 1\n", "d.py": "class C:\n    def m(self): pass\n"}
-    units = materialize(u.code_units(parse_files(files(texts))), "test-units")
+    units = materialize(u.code_units(parse_files(files(texts))), "test-units", by="kind")
     found = discovery.retrieve_candidates(u.last_units(units))
     assert u.discovery_summary(units, found).first().asDict() == {
         "files_scanned": 4,

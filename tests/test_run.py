@@ -188,6 +188,32 @@ def test_waves_give_the_same_answers(spark, files, templates, docs):
     assert sorted(one.failures.drop("ts").collect()) == sorted(many.failures.drop("ts").collect())
 
 
+def test_restart_after_a_lost_run_keeps_what_was_answered(spark, files, templates, docs, tmp_path):
+    log, output = tmp_path / "calls", new_scratch_path(spark, "t")
+    log.mkdir()
+    path = str(log)
+    inner = counting_client(path)
+
+    def breaking():
+        import os
+
+        if len(os.listdir(path)) > 40:
+            raise SystemError("no client on this machine")
+        return inner()
+
+    options = {"workers": 3, "calls_per_task": 7}
+    with pytest.raises(Exception, match="no client on this machine"):
+        start(spark, files, templates, docs, output, breaking, **options)
+    kept = spark.read.parquet(f"{output}/completions/job=j1").count()
+    assert kept > 0
+    before = len(list(log.iterdir()))
+    result = start(spark, files, templates, docs, output, inner, **options)
+    assert len(list(log.iterdir())) - before == 96 - kept
+    assert result.harnesses.count() + result.failures.count() == 96
+    clean = start(spark, files, templates, docs, new_scratch_path(spark, "t"), offline_client)
+    assert sorted(result.harnesses.collect()) == sorted(clean.harnesses.collect())
+
+
 def test_a_failing_call_fails_alone(spark, files, templates, docs, tmp_path):
     log = tmp_path / "calls"
     log.mkdir()
