@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from checks import fixtures as fx
 from checks.fixtures import sql_text
 from sourcemine import fixed_values as fixed
 
 
+def _format(pattern: str, **columns: str) -> str:
+    """SQL for a fixed format with columns in its fields."""
+    parts = []
+    for literal, name in re.findall(r"([^{}]+)|\{(\w+)\}", pattern):
+        parts.append(columns[name] if name else sql_text(literal))
+    return f"concat({', '.join(parts)})"
+
+
 def _union(rows: list[str]) -> str:
     return "\nunion all\n".join(rows)
 
@@ -41,8 +51,7 @@ fn_candidates as (
 ),
 live_methods as (
   select m.*, concat(m.class_name, '.', m.method) as name,
-    concat(chr(10), chr(10), m.class_code, chr(10), chr(10), '**FUZZING FOCUS**', chr(10),
-      'Method Name: ', m.method, chr(10), 'Method Body:', chr(10), m.code) as target
+    {_format(fixed.METHOD_TARGET_FORMAT, class_code='m.class_code', method='m.method', code='m.code')} as target
   from raw_methods m join last_units u
     on u.kind = 'class' and u.path = m.path and u.name = m.class_name and u.line = m.class_line
 ),
@@ -74,12 +83,8 @@ prompts as (
 
 
 def _banner(body: str, key: int) -> str:
-    title = fixed.DOC_TITLES[key].replace("'", "''")
-    intro = fixed.DOC_INTRO.replace("'", "''")
-    return (
-        f"concat(chr(10), '==== START OF {title} ====', chr(10), chr(10), '{intro}', chr(10), chr(10), "
-        f"{body}, chr(10), chr(10), '==== END OF {title} ====', chr(10))"
-    )
+    title, intro = sql_text(fixed.DOC_TITLES[key]), sql_text(fixed.DOC_INTRO)
+    return _format(fixed.BANNER_FORMAT, title=title, intro=intro, body=body)
 
 
 def _listing() -> str:
@@ -151,7 +156,18 @@ def oracle_sql() -> dict[str, str]:
     )
     git = "concat('git@host:team/repo-', cast(page_id as string), '.git')"
     answers = f"(select *, {fx.ANSWER} as response, {fx.ANSWER_BLOCK} as block, {fx.ANSWER_NAME} as name from conversations)"
-    answer_run = "concat('fuzzing(', role, ')using(m.x.1on(01-02-24_03-04-05pm)')"
+    answer_run = _format(
+        fixed.RUN_LABEL_FORMAT, source="role", model="'m.x.1'", time="'01-02-24_03-04-05pm'"
+    )
+    order_run = _format(
+        fixed.RUN_LABEL_FORMAT,
+        source="o_orderpriority",
+        model="concat('gem.', o_orderstatus, '.1')",
+        time="lower(strftime(o_orderdate + to_seconds(o_orderkey * 37), '%m-%d-%y_%I-%M-%S%p'))",
+    )
+    entry = _format(
+        fixed.FAILURE_ENTRY_FORMAT, ts="'2024-01-02 15:04:05'", context="'Generation'", message="error_msg"
+    )
     digest = "sha256(prompt)"
     offline = (
         f"case when left({digest}, 1) = '2' then '' "
@@ -230,9 +246,7 @@ from (select page_id, unnest(opts) as o, generate_subscripts(opts, 1) as i from
   select page_id, list_concat(string_split(regexp_replace(url, '^[^?]*[?]?', ''), '&'),
     ['bad', concat('k=', cast(page_id as string)), '=e', 'x=y=z', 'k=', 'page=last']) as opts from pages))
 where strpos(o, '=') > 0 group by 1, 2""",
-        "run_id": """
-select o_orderkey, concat('fuzzing(', o_orderpriority, ')using(gem.', o_orderstatus, '.1on(',
-  lower(strftime(o_orderdate + to_seconds(o_orderkey * 37), '%m-%d-%y_%I-%M-%S%p')), ')') as run_id from orders""",
+        "run_id": f"select o_orderkey, {order_run} as run_id from orders",
         "code_blocks": f"select conv_id, turn, block from {answers}",
         "first_choice": """
 select conv_id, turn, case (conv_id + turn) % 4 when 2 then text when 3 then role end as response from conversations""",
@@ -240,14 +254,14 @@ select conv_id, turn, case (conv_id + turn) % 4 when 2 then text when 3 then rol
         + f"""select name, {offline} as response,
   case when left({digest}, 1) = '0' then 'ConnectionError: no route to the model' end as error from prompts""",
         "harness_rows": f"""
-select {answer_run} as run_id, name, concat('atheris_harness_for_((', name, ')).py') as file_name, block as code
+select {answer_run} as run_id, name, {_format(fixed.HARNESS_FILE_FORMAT, name='name')} as file_name, block as code
 from {answers} where block <> ''""",
         "failure_rows": f"""
 select run_id, 'Generation' as context, name, error_msg,
-  concat('[2024-01-02 15:04:05] [Generation]', chr(10), error_msg, chr(10), repeat('-', 40), chr(10)) as entry
+  {entry} as entry
 from (select {answer_run} as run_id, name, case when coalesce(response, '') = ''
-    then concat('Empty response from LLM for candidate: ', name)
-    else concat('No code block found in LLM response for: ', name) end as error_msg
+    then {_format(fixed.MESSAGE_EMPTY, name='name')}
+    else {_format(fixed.MESSAGE_NO_BLOCK, name='name')} end as error_msg
   from {answers} where block = '')""",
         "harness_run_outcomes": base
         + f"""select name, case when left({digest}, 1) in ('0', '1', '2') then 'empty'

@@ -117,7 +117,7 @@ def run(
     except KeyError as error:
         message = fixed.MESSAGE_FATAL.replace("{error}", str(error))
         append_failures(
-            spark.range(1).select(
+            spark.range(0, 1, 1, 1).select(
                 F.lit(job).alias("run_id"),
                 at.alias("ts"),
                 F.lit(fixed.CONTEXT_ORCHESTRATION).alias("context"),
@@ -158,7 +158,7 @@ def run(
     failures = write_table(outcomes.rejected(answers, at), place("failures"))
     # Which syntax counts as an error depends on the parser's version.
     write_table(
-        spark.range(1).select(
+        spark.range(0, 1, 1, 1).select(
             at.alias("ts"),
             F.lit(prompt_id).alias("prompt_id"),
             F.lit(model).alias("model"),

@@ -19,7 +19,7 @@ WRITERS_SETTING = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, int]) -> Iterator[None]:
+def _settings(spark: SparkSession, values: dict[str, int | str]) -> Iterator[None]:
     before = {key: spark.conf.get(key) for key in values}
     for key, value in values.items():
         spark.conf.set(key, value)
@@ -89,6 +89,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     split further, so no partition grows, however large the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df if partition_count(df) >= cores else df.repartition(cores, *keys)
+
+
+def partition_count(df: DataFrame) -> int:
+    """Partitions of the plan as written.  Adaptive execution would have to run
+    the shuffles below to answer, so a copy is planned without it."""
+    with _settings(df.sparkSession, {"spark.sql.adaptive.enabled": "false"}):
+        return df.select("*").rdd.getNumPartitions()
