@@ -28,8 +28,20 @@ def query(build: Query) -> Query:
     return build
 
 
+# The columns in use; a stated schema saves the job that would infer it.
+SCHEMAS = {
+    "part": "p_partkey bigint, p_size int",
+    "orders": "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double",
+    "documents": "doc_id bigint, text string, source string",
+    "pages": "page_id bigint, url string",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 # inputs
