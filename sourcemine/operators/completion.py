@@ -20,6 +20,14 @@ ClientFactory = Callable[[], Client]
 FLUSH_ROWS = 64
 
 
+def _checked(texts: list[str | None]) -> list[str | None]:
+    """An answer that no table can hold is the fault of its call, not of the task."""
+    for text in texts:
+        if text is not None:
+            str.encode(text)
+    return texts
+
+
 def _complete_batches(factory: ClientFactory, settings: dict):
     schema = to_arrow_schema(schemas.COMPLETIONS)
 
@@ -31,7 +39,7 @@ def _complete_batches(factory: ClientFactory, settings: dict):
                 for row in rows:
                     row["choices"], row["error"] = None, None
                     try:
-                        texts = client(row.pop("prompt"), **settings)
+                        texts = _checked(client(row.pop("prompt"), **settings))
                         row["choices"] = [{"message": {"content": text}} for text in texts]
                     except Exception as error:  # noqa: BLE001 - a candidate fails alone
                         row["error"] = f"{type(error).__name__}: {error}"

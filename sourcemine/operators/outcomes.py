@@ -35,6 +35,20 @@ def failure_message(name: Column, response: Column) -> Column:
     )
 
 
+def not_exported(exported: DataFrame, ts: Column) -> DataFrame:
+    """Failures of the file export."""
+    message = text_rules.format_columns(
+        fixed.MESSAGE_UNEXPECTED, name=F.col("name"), error=F.col("error")
+    )
+    return exported.filter(F.col("error").isNotNull()).select(
+        "run_id",
+        ts.alias("ts"),
+        F.lit(fixed.CONTEXT_GENERATION).alias("context"),
+        "name",
+        message.alias("error_msg"),
+    )
+
+
 def rejected(answers: DataFrame, ts: Column) -> DataFrame:
     """Every other answer, with the reason."""
     return (

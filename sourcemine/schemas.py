@@ -60,6 +60,8 @@ PARSED_FILES = T.StructType(
 
 TREE_LISTING = T.StructType(
     [
+        # Names are bytes on disk and need not be text: ``raw`` opens the file.
+        T.StructField("raw", T.BinaryType()),
         T.StructField("path", T.StringType()),
         T.StructField("dir", T.StringType()),
         T.StructField("name", T.StringType()),

@@ -24,10 +24,18 @@ READ_FLUSH_BYTES = 16 << 20
 BYTES_PER_READ_TASK = 64 << 20
 
 
-def _is_environment(directory: str) -> bool:
-    if not os.path.isfile(os.path.join(directory, fixed.ENV_CONFIG)):
-        return False
-    return any(os.path.isfile(os.path.join(directory, p)) for p in fixed.ENV_INTERPRETERS)
+def _shown(name: bytes) -> str:
+    return name.decode("utf-8", "backslashreplace")
+
+
+def _holds(directory: bytes, name: str) -> bool:
+    return os.path.isfile(os.path.join(directory, name.encode()))
+
+
+def _is_environment(directory: bytes) -> bool:
+    return _holds(directory, fixed.ENV_CONFIG) and any(
+        _holds(directory, interpreter) for interpreter in fixed.ENV_INTERPRETERS
+    )
 
 
 def _is(check, **options) -> bool:
@@ -37,9 +45,17 @@ def _is(check, **options) -> bool:
         return False
 
 
+def _size(entry: os.DirEntry) -> int:
+    try:
+        return entry.stat().st_size
+    except OSError:
+        return 0
+
+
 def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subdirectories and sources of each directory; an unreadable one is passed over."""
     schema = to_arrow_schema(schemas.TREE_LISTING)
+    suffix = fixed.PYTHON_SUFFIX.encode()
     rows: list[dict] = []
     for batch in batches:
         for directory in batch.column(0).to_pylist():
@@ -53,16 +69,17 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     if is_dir:
                         wanted = not entry.is_symlink() and not _is_environment(entry.path)
                     else:
-                        wanted = entry.name.endswith(fixed.PYTHON_SUFFIX) and _is(entry.is_file)
+                        wanted = entry.name.endswith(suffix) and _is(entry.is_file)
                     if not wanted:
                         continue
                     rows.append(
                         {
-                            "path": entry.path,
-                            "dir": directory,
-                            "name": entry.name,
+                            "raw": entry.path,
+                            "path": _shown(entry.path),
+                            "dir": _shown(directory),
+                            "name": _shown(entry.name),
                             "is_dir": is_dir,
-                            "size": 0 if is_dir else os.stat(entry.path).st_size,
+                            "size": 0 if is_dir else _size(entry),
                         }
                     )
                     if len(rows) >= LIST_FLUSH_ROWS:
@@ -80,20 +97,20 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     target = new_scratch_path(spark, "tree")
     cores = spark.sparkContext.defaultParallelism
-    frontier = spark.createDataFrame([(root,)], "dir string")
+    frontier = spark.createDataFrame([(bytearray(os.fsencode(root)),)], "raw binary")
     width, levels = 1, []
     while width:
         levels.append(f"{target}/level={len(levels)}")
         (
-            frontier.repartition(min(width, 4 * cores), "dir")
+            frontier.repartition(min(width, 4 * cores), "raw")
             .mapInArrow(_list_directories, schemas.TREE_LISTING)
             .write.parquet(levels[-1])
         )
         below = spark.read.schema(schemas.TREE_LISTING).parquet(levels[-1]).filter("is_dir")
-        frontier = below.select(F.col("path").alias("dir"))
+        frontier = below.select("raw")
         width = frontier.count()
     listing = spark.read.schema(schemas.TREE_LISTING).parquet(*levels)
-    return listing.filter(~F.col("is_dir")).select("path", "dir", "name", "size")
+    return listing.filter(~F.col("is_dir")).drop("is_dir")
 
 
 def _read_files(repo: str):
@@ -102,10 +119,10 @@ def _read_files(repo: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                row = {"repo": repo, "path": path, "content": None, "error": None}
+            for raw in batch.column(0).to_pylist():
+                row = {"repo": repo, "path": _shown(raw), "content": None, "error": None}
                 try:
-                    with open(path, "rb") as file:
+                    with open(raw, "rb") as file:
                         row["content"] = file.read()
                 except FileNotFoundError:
                     continue
@@ -129,7 +146,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_READ_TASK))
     repo = os.path.basename(os.path.normpath(root))
     return (
-        listing.select("path")
-        .repartition(tasks, "path")
+        listing.select("raw")
+        .repartition(tasks, "raw")
         .mapInArrow(_read_files(repo), schemas.SOURCE_FILES_RAW)
     )

@@ -287,3 +287,14 @@ def test_export_writes_one_file_per_harness(spark, tmp_path):
     assert done["f"] is None and done["C.m"] is None
     assert "too long" in done["n" * 300]
     assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 2
+    failed = outcomes.not_exported(export_files(df, str(tmp_path)), F.lit(AT)).collect()
+    assert [r["name"] for r in failed] == ["n" * 300]
+    assert failed[0]["error_msg"].startswith(f"Unexpected error processing {'n' * 300}: ")
+
+
+def test_unstorable_answers_fail_alone(spark):
+    answers = {"0": ["\ud800"], "1": [7], "2": 7, "3": None, "4": ["fine"], "5": [None]}
+    asked = spark.range(6).selectExpr("'r' repo", "cast(id as string) name", "cast(id as string) prompt")
+    rows = complete(asked, lambda: lambda prompt, **settings: answers[prompt], 0.1).collect()
+    got = {r["name"]: (r["error"] or "").split(":")[0] for r in rows}
+    assert got == {"0": "UnicodeEncodeError", "1": "TypeError", "2": "TypeError", "3": "TypeError", "4": "", "5": ""}

@@ -153,3 +153,14 @@ def test_hot_directory_is_split_when_nothing_is_small(spark):
             spark.conf.set(key, value)
     assert len(rows) == 4000 + 8000 - 1600
     assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_names_that_are_not_text(spark, tmp_path):
+    folder = os.path.join(os.fsencode(tmp_path), b"d\xff")
+    os.mkdir(folder)
+    for name in (b"a\xfe.py", b"b.py"):
+        with open(os.path.join(folder, name), "wb") as file:
+            file.write(b"def f(): pass\n")
+    raw = read_tree(spark, str(tmp_path)).collect()
+    assert sorted(r["path"].split("/d", 1)[1] for r in raw) == ["\\xff/a\\xfe.py", "\\xff/b.py"]
+    assert {bytes(r["content"]) for r in raw} == {b"def f(): pass\n"}
