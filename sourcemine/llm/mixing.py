@@ -5,9 +5,9 @@ null last, weigh 5, 2, 1 and so on again, and share all words; a source's target
 stops at ``EPOCHS`` times its size, and what that leaves is shared out again by
 weight until no source is above.  A source at ``e`` epochs gives every document
 ``floor(e)`` times; for the rest its documents are taken once more in the order
-of a seeded hash while their sum stays within what is missing, and one more
-whose size comes nearest to the gap, if that brings the sum nearer.  No
-document is cut, and none comes more than ``EPOCHS`` times.
+of a seeded hash while their sum stays within what is missing, and a few more,
+one of a size class, largest first, fill the gap to the nearest.  No document is cut, and none
+comes more than ``EPOCHS`` times.
 
 Documents without words take no share; they come as often as the whole epochs
 say, and once more where the hash order takes them.  Repeated rows count each.
@@ -87,15 +87,26 @@ def copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
     gaps = reached.select(
         F.col("part").alias("_part"), F.col("source").alias("_source"), (F.col("need") - F.max("got").over(all_of)).alias("_gap")
     )
-    miss = F.abs(F.col("_gap") - F.col("size"))
-    nearest = (
-        counted.where(~F.col("_more") & (F.col("whole") < EPOCHS) & (F.col("size") > 0))
-        .join(gaps, same)
-        .where(miss < F.col("_gap"))
+    # One document of each size class, at most four classes an octave, fills the
+    # gap from the largest down.
+    octave = F.floor(4 * F.log2("size"))
+    open_ = counted.where(~F.col("_more") & (F.col("whole") < EPOCHS) & (F.col("size") > 0))
+    fillers = (
+        open_.join(gaps, same)
+        .where(F.col("size") < 2 * F.col("_gap"))
+        .groupBy("source", octave.alias("class"))
+        .agg(F.min(F.struct("_draw", "row", "size")).alias("best"), F.max("_gap").alias("gap"))
         .groupBy("source")
-        .agg(F.min(F.struct(miss.alias("miss"), "_draw", "row")).alias("best"))
-        .select(F.col("best.row").alias("row"), F.lit(1).alias("_one"))
+        .agg(F.collect_list(F.struct(F.col("best.size").alias("size"), F.col("best.row").alias("row"))).alias("some"), F.max("gap").alias("gap"))
     )
+    take = "struct(a.gap - x.size AS gap, array_append(a.rows, x.row) AS rows)"
+    fits = f"(a, x) -> IF(x.size <= a.gap, {take}, a)"
+    start = "struct(gap AS gap, CAST(array() AS array<bigint>) AS rows)"
+    filled = f"aggregate(reverse(array_sort(some)), {start}, {fits})"
+    # At last the smallest that overshoots by less than what is missing.
+    nearer = f"(a, x) -> IF(NOT array_contains(a.rows, x.row) AND x.size < 2 * a.gap, {take}, a)"
+    filled = F.expr(f"aggregate(array_sort(some), {filled}, {nearer}).rows")
+    nearest = fillers.select(F.explode(filled).alias("row"), F.lit(1).alias("_one"))
     times = F.col("whole") + F.col("_more").cast("long") + F.coalesce("_one", F.lit(0))
     return counted.join(nearest, "row", "left").select(
         *rows.columns, "source_size", "target", times.alias("copies")

@@ -15,8 +15,8 @@ WITH d AS (
 ), again AS (
   SELECT r, run FROM runs GROUP BY r, run HAVING count(*) > 1
 ), repeated AS (
-  SELECT r, count(DISTINCT at) AS n FROM (
-    SELECT r, unnest(range(i, i + 8)) AS at FROM runs SEMI JOIN again USING (r, run)
+  SELECT r, count(DISTINCT place) AS n FROM (
+    SELECT r, unnest(range(i, i + 8)) AS place FROM runs SEMI JOIN again USING (r, run)
   ) GROUP BY r
 ), lines AS (
   SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
@@ -72,10 +72,10 @@ FROM m GROUP BY conv_id
 
 ORACLES["op10_norm_sorted_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
