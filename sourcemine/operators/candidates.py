@@ -53,10 +53,11 @@ def method_candidates(units: DataFrame) -> DataFrame:
 
     A class text belongs to every method of the class.  Deduplicating rows that
     carry it would shuffle it once per method; here it moves once per class.
-    The keys are the small side of that join and are what is hashed; each
-    ``(repo, path, class_line)`` is one class, so no key of it is hot.
+    The keys are the small side of that join; each ``(repo, path, class_line)`` is
+    one class, so only a class of very many methods makes a hot key, which
+    adaptive execution may split.
     """
-    winners = method_winners(units).hint("shuffle_hash")
+    winners = method_winners(units)
     classes = units.filter(F.col("kind") == "class").select(
         "repo",
         "path",

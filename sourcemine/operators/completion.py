@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
@@ -52,12 +53,28 @@ def with_prompt_sha(prompts: DataFrame) -> DataFrame:
     return prompts.withColumn("prompt_sha", F.sha2("prompt", 256))
 
 
+def call_settings(model: str, temperature: float, params: Mapping[str, str] | None) -> dict:
+    """What a client is called with beside the prompt; ``params`` may not restate it."""
+    fixed_ones = {"model": model, "temperature": temperature, "num_retries": CLIENT_RETRIES}
+    clash = sorted(fixed_ones.keys() & (params or {}).keys())
+    if clash:
+        raise ValueError(f"params may not set {', '.join(clash)}")
+    return {**fixed_ones, **(params or {})}
+
+
+def with_request_sha(keyed: DataFrame, settings: dict) -> DataFrame:
+    """Digest of all that decides an answer: the prompt and the call's settings."""
+    told = json.dumps(settings, sort_keys=True, default=str)
+    return keyed.withColumn("request_sha", F.sha2(F.concat_ws("\n", "prompt_sha", F.lit(told)), 256))
+
+
 def complete(
     prompts: DataFrame,
     client_factory: ClientFactory,
     temperature: float,
     model: str = "",
     params: Mapping[str, str] | None = None,
+    attempt: int = 1,
 ) -> DataFrame:
     """One answer per row; a client that raises gives a null answer and its message.
 
@@ -65,15 +82,12 @@ def complete(
     number of calls in flight.  Answers cost money and differ from call to
     call: write the result before reading it more than once.
     """
-    settings = {
-        "model": model,
-        "temperature": temperature,
-        "num_retries": CLIENT_RETRIES,
-        **(params or {}),
-    }
+    settings = call_settings(model, temperature, params)
     keyed = prompts if "prompt_sha" in prompts.columns else with_prompt_sha(prompts)
     return (
-        keyed.select("repo", "name", "prompt_sha", "prompt")
+        with_request_sha(keyed, settings)
+        .withColumn("attempt", F.lit(attempt))
+        .select("repo", "name", "prompt_sha", "request_sha", "attempt", "prompt")
         .mapInArrow(_complete_batches(client_factory, settings), schemas.COMPLETIONS)
     )
 

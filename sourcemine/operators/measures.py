@@ -48,13 +48,15 @@ class LineFacts:
 
     def count(self, node: ast.stmt, texts: list[ast.Expr]) -> tuple[int, float]:
         """Code lines and comment percentage of a unit.  Free-standing texts, such
-        as docstrings, are comments in all their lines."""
-        span = slice(node.lineno - 1, node.end_lineno)
-        code, comments = sum(self.code[span]), sum(self.comments[span])
+        as docstrings, are comments in all their lines.  A comment behind the
+        last token does not belong to the unit."""
+        first = node.lineno - 1
+        marked = bytearray(self.comments[first : node.end_lineno])
+        marked[-1] = 0
+        code, comments = sum(self.code[first : node.end_lineno]), sum(marked)
         for text in texts:
-            lines = slice(text.lineno - 1, text.end_lineno)
-            code -= sum(self.code[lines])
-            comments += self.comments[lines].count(0)
+            code -= sum(self.code[text.lineno - 1 : text.end_lineno])
+            comments += marked[text.lineno - 1 - first : text.end_lineno - first].count(0)
         return code, (100.0 * comments / code if code > 0 else 0.0)
 
 
@@ -132,6 +134,7 @@ _RULES = {
 
 
 def _tally(root: ast.AST) -> _Tally:
+    """Counts of a unit's own text, which its own decorators are not part of."""
     found = _Tally()
     stack = [root]
     while stack:
@@ -141,6 +144,8 @@ def _tally(root: ast.AST) -> _Tally:
         if rule is not None:
             rule(found, node)
         for name in kind._fields:
+            if node is root and name == "decorator_list":
+                continue
             value = getattr(node, name, None)
             if type(value) is list:
                 stack += [v for v in value if isinstance(v, ast.AST) and type(v) not in _LEAVES]

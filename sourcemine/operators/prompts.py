@@ -24,6 +24,9 @@ def lookup_template(catalogue: DataFrame, prompt_id: str) -> Row:
     found = template_settings(catalogue.filter(F.col("prompt_id") == prompt_id)).head(2)
     if len(found) != 1:
         raise KeyError(f"Prompt ID {prompt_id!r} is in the catalogue {len(found)} times")
+    missing = [name for name in ("temperature", "template") if found[0][name] is None]
+    if missing:
+        raise KeyError(f"Prompt ID {prompt_id!r} has no {' and no '.join(missing)}")
     return found[0]
 
 

@@ -14,12 +14,18 @@ from sourcemine import fixed_values as fixed
 from sourcemine import schemas
 from sourcemine.functions import text as text_rules
 from sourcemine.operators import outcomes
-from sourcemine.operators.completion import ClientFactory, complete, with_prompt_sha
+from sourcemine.operators.completion import (
+    ClientFactory,
+    call_settings,
+    complete,
+    with_prompt_sha,
+    with_request_sha,
+)
 from sourcemine.operators.prompts import docs_text, lookup_template, render_prompts
 from sourcemine.operators.units import count_targets
 from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units
 from sourcemine.sinks.tables import append_failures
-from sourcemine.storage import text_batches, write_table
+from sourcemine.storage import materialize, text_batches, write_table
 
 
 @dataclass(frozen=True)
@@ -55,9 +61,13 @@ def _write_candidates(candidates: DataFrame, path: str, waves: int) -> DataFrame
 
 
 def _complete_missing(
-    candidates: DataFrame, path: str, calls_per_job: int, workers: int, texts: dict, **options
-) -> DataFrame:
-    """Answers to all candidates; a restarted job asks only for what it lacks.
+    candidates: DataFrame, path: str, calls_per_job: int, workers: int, texts: dict, settings: dict, **options
+) -> tuple[DataFrame, int]:
+    """Answers to all candidates and the number of this attempt.
+
+    A restarted job asks only for what it lacks: requests without an answer under
+    the same prompt, model, temperature and parameters.  A call that failed is
+    no answer and is made again.
 
     Each job of some waves is one committed append: a lost executor repeats the
     calls of its tasks, a lost driver those of one job.  The waves were planned
@@ -66,21 +76,27 @@ def _complete_missing(
     compares digests only.
     """
     spark = candidates.sparkSession
-    keys = ["repo", "name", "prompt_sha"]
-    known = _stored(spark, path)
+    keys = ["repo", "name", "request_sha"]
+    requests = with_request_sha(candidates, settings)
+    earlier = _stored(spark, path)
+    attempt = 1
+    if earlier is not None:
+        attempt += earlier.agg(F.max("attempt")).first()[0] or 0
+        known = earlier.filter("error IS NULL").select(*keys).distinct()
+        # What is missing is found once and stored by wave, not once a job.
+        missing = requests.join(known, keys, "left_anti").drop("request_sha")
+        candidates = materialize(missing, "missing", by="wave")
     jobs = max(1, -(-candidates.count() // calls_per_job))
     for job in range(jobs):
         asked = candidates.filter(F.col("wave") % jobs == job)
-        if known is not None:
-            asked = asked.join(known.select(*keys), keys, "left_anti")
         prompts = render_prompts(asked.repartition(workers, "repo", "name"), **texts)
         with text_batches(spark):
-            complete(prompts, **options).write.mode("append").parquet(path)
+            complete(prompts, attempt=attempt, **options).write.mode("append").parquet(path)
     answers = spark.read.schema(schemas.COMPLETIONS).parquet(path)
-    if known is None:
-        return answers
-    # Answers of an earlier attempt to prompts that have changed since do not count.
-    return answers.join(candidates.select(*keys), keys, "left_semi")
+    # One row a request: its answer, or the failure of this attempt.  Answers to
+    # requests that have changed since do not count.
+    answers = answers.filter(F.col("error").isNull() | (F.col("attempt") == attempt))
+    return answers.join(requests.select(*keys), keys, "left_semi"), attempt
 
 
 def run(
@@ -104,9 +120,12 @@ def run(
 
     ``source_files`` has ``repo, path, content`` and optionally ``error``; a path
     is there once per ``repo``.  Each ``repo`` is one tree with its own names and
-    its own run label.  ``workers`` is the number of calls in flight.
+    its own run label, made of the last part of its name.  ``workers`` is the number
+    of calls in flight.  The tables returned are those of this attempt: read them
+    before the same job runs again.
     """
     workers = workers or spark.sparkContext.defaultParallelism
+    model = model.strip()
     at = F.lit((ts or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
     def place(table: str) -> str:
@@ -127,6 +146,7 @@ def run(
             f"{output}/fatal",
         )
         raise
+    told = call_settings(model, settings["temperature"], params)
     texts = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
 
     units = write_table(parsed_units(source_files, smell), place("units"), by="kind")
@@ -138,24 +158,25 @@ def run(
         place("candidates"),
         waves,
     )
-    completions = _complete_missing(
+    completions, attempt = _complete_missing(
         candidates,
         place("completions"),
         calls_per_job,
         workers,
         texts,
+        told,
         client_factory=client_factory,
         temperature=settings["temperature"],
         model=model,
         params=params,
     )
     answers = completions.select(
-        text_rules.run_label(F.col("repo"), F.lit(model), at).alias("run_id"),
+        text_rules.run_label(text_rules.base_name(F.col("repo")), F.lit(model), at).alias("run_id"),
         "name",
         text_rules.first_choice(F.col("choices")).alias("response"),
     )
     harnesses = write_table(outcomes.accepted(answers), place("harnesses"))
-    failures = write_table(outcomes.rejected(answers, at), place("failures"))
+    failures = write_table(outcomes.rejected(answers, at), f"{place('failures')}/attempt={attempt}")
     # Which syntax counts as an error depends on the parser's version.
     write_table(
         spark.range(0, 1, 1, 1).select(

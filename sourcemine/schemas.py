@@ -100,6 +100,8 @@ COMPLETIONS = T.StructType(
         T.StructField("repo", T.StringType()),
         T.StructField("name", T.StringType(), False),
         T.StructField("prompt_sha", T.StringType()),
+        T.StructField("request_sha", T.StringType()),
+        T.StructField("attempt", T.IntegerType()),
         T.StructField("choices", CHOICES),
         T.StructField("error", T.StringType()),
     ]

@@ -138,10 +138,9 @@ def counting_client(log_dir, fail=None):
 
 
 def start(spark, files, templates, docs, output, factory, sources=SOURCES, **options):
-    settings = {"prompt_id": "base", "job": "j1", "ts": AT, **options}
+    settings = {"prompt_id": "base", "job": "j1", "ts": AT, "model": "offline/none", **options}
     return run(
-        spark, files(sources), templates, docs, "b", client_factory=factory, model="offline/none",
-        output=output, **settings,
+        spark, files(sources), templates, docs, "b", client_factory=factory, output=output, **settings,
     )
 
 
@@ -158,26 +157,65 @@ def test_whole_run(spark, files, templates, docs, tmp_path):
     assert len(calls) == len(names)
     assert calls[0].read_text() == "offline/none 0.3 5 v"
     row = result.harnesses.first()
-    assert row["run_id"] == "fuzzing(repo)using(offline.none" + "on(01-02-24_03-04-05pm)"
+    assert row["run_id"] == "fuzzing(repo)using(offline.noneon(01-02-24_03-04-05pm)"
     assert re.fullmatch("# [0-9a-f]{64}\n", row["code"])
 
 
-def test_second_attempt_asks_nothing_again(spark, files, templates, docs, tmp_path):
+def test_second_attempt_asks_only_what_failed(spark, files, templates, docs, tmp_path):
     log, output = tmp_path / "calls", new_scratch_path(spark, "t")
     log.mkdir()
     first = start(spark, files, templates, docs, output, counting_client(str(log)))
     before = sorted(first.harnesses.collect())
     asked = len(list(log.iterdir()))
+    failed = first.completions.filter("error is not null").count()
     second = start(spark, files, templates, docs, output, counting_client(str(log)))
     assert sorted(second.harnesses.collect()) == before
-    assert len(list(log.iterdir())) == asked
+    again = len(list(log.iterdir()))
+    assert failed and again == asked + failed
+    assert second.completions.count() == asked
     changed = {**SOURCES, "p000.py": "def f0(x):\n    return None\n"}
     third = start(spark, files, templates, docs, output, counting_client(str(log)), sources=changed)
     # Only f0 is new; C0.m0 is supplied by p036.py both before and after.
-    assert len(list(log.iterdir())) == asked + 1
+    assert len(list(log.iterdir())) - again in (failed, failed + 1)
     assert third.harnesses.count() + third.failures.count() == third.candidates.count() == asked
 
 
+def test_answers_belong_to_their_settings(spark, files, templates, docs):
+    output = new_scratch_path(spark, "t")
+
+    def client(model, temperature):
+        def answer(prompt, **settings):
+            assert (settings["model"], settings["temperature"]) == (model, temperature)
+            return [f"```\n# {model} {temperature} {settings.get('k')}\n```"]
+
+        return lambda: answer
+
+    def down():
+        def answer(prompt, **settings):
+            raise ConnectionError("down")
+
+        return answer
+
+    def codes(result):
+        assert result.failures.count() == 0
+        return {r["code"].strip() for r in result.harnesses.collect()}
+
+    assert start(spark, files, templates, docs, output, down).harnesses.count() == 0
+    first = start(spark, files, templates, docs, output, client("A/one", 0.3), model=" A/one ")
+    assert codes(first) == {"# A/one 0.3 None"}
+    second = start(spark, files, templates, docs, output, client("B/two", 0.3), model="B/two")
+    assert codes(second) == {"# B/two 0.3 None"}
+    third = start(spark, files, templates, docs, output, client("B/two", 0.3), model="B/two", params={"k": "v"})
+    assert codes(third) == {"# B/two 0.3 v"}
+    warmer = templates.withColumn("temperature", F.lit(0.9))
+    fourth = start(spark, files, warmer, docs, output, client("B/two", 0.9), model="B/two")
+    assert codes(fourth) == {"# B/two 0.9 None"}
+    with pytest.raises(ValueError, match="params may not set model"):
+        start(spark, files, templates, docs, output, down, params={"model": "x"})
+    with pytest.raises(KeyError, match="has no temperature"):
+        start(spark, files, templates.withColumn("temperature", F.lit(None).cast("double")), docs, output, down)
+
+
 def test_waves_give_the_same_answers(spark, files, templates, docs):
     one = start(spark, files, templates, docs, new_scratch_path(spark, "t"), offline_client)
     many = start(
@@ -204,7 +242,7 @@ def test_restart_after_a_lost_run_keeps_what_was_answered(spark, files, template
     options = {"workers": 3, "calls_per_task": 7}
     with pytest.raises(Exception, match="no client on this machine"):
         start(spark, files, templates, docs, output, breaking, **options)
-    kept = spark.read.parquet(f"{output}/completions/job=j1").count()
+    kept = spark.read.parquet(f"{output}/completions/job=j1").where("error is null").count()
     assert kept > 0
     before = len(list(log.iterdir()))
     result = start(spark, files, templates, docs, output, inner, **options)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sourcemine.functions import score
 from sourcemine.operators.measures import LineFacts, _without_comments, measure
+from sourcemine.operators.parse import parse_source
 
 
 def counts(text):
@@ -101,11 +102,30 @@ def _cut_by_tokens(text):
 def test_comments_equal_the_tokenizers_over_the_standard_library():
     paths = sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))
     random.Random(11).shuffle(paths)
-    for path in paths[:60]:
+    for path in paths:
         text = path.read_text(encoding="utf-8")
         assert _without_comments(text) == _cut_by_tokens(text), path
 
 
+def test_counts_are_those_of_the_units_own_text():
+    text = (
+        "@d(1 + 2)\ndef f(x):\n    return x  # done\n\n"
+        "class A:\n    @p(3 * 4)\n    def m(self):\n        'doc'  # said\n"
+    )
+    f, a = parse_source(text, with_counts=True)
+    assert (f["counts"]["n_operators"], f["counts"]["n_operands"], f["counts"]["comment_pct"]) == (0, 0, 0.0)
+    assert a["counts"]["n_operators"] == 1
+    for unit in (f, a):
+        assert parse_source(unit["code"], with_counts=True)[0]["counts"] == unit["counts"]
+
+
+def test_counts_of_own_texts_over_the_standard_library():
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")):
+        for unit in parse_source(path.read_text(encoding="utf-8"), with_counts=True):
+            own = parse_source(unit["code"], with_counts=True)[0]
+            assert own["counts"] == unit["counts"], (path, unit["name"])
+
+
 def test_comment_signs_in_strings():
     text = "a = '#'  # one\nb = \"\"\"x # y\n# z \\\"\"\" # w\n\"\"\"  # two\nc = f'{a[\'#\']}'  # three\nd = '\\'#'\n# four\n"
     assert _without_comments(text) == _cut_by_tokens(text)

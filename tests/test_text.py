@@ -124,7 +124,7 @@ def test_labels(spark):
     ).first()
     when = at.strftime("%m-%d-%y_%I-%M-%S%p").lower()
     assert row["run"] == f"fuzzing(src)using(gemini.x.1on({when})"
-    assert row["file"].endswith("_harness_for_((C.m)).py")
+    assert row["file"] == "atheris_harness_for_((C.m)).py"
     assert row["entry"] == "[2024-01-02 15:04:05] [Generation]\nwhy\n" + "-" * 40 + "\n"
 
 
