@@ -10,7 +10,8 @@ and those below are filled, unlinked documents first.  In the end the counts
 of any two shards differ by one at most (law ``rows``).
 
 A key with a third of all rows is one row a shard when it is counted, is joined
-by a plain join that Spark can split, and simply fills one shard after the other.
+by a plain join that Spark can split.  It does not fit any shard, so it gathers
+only as far as the room of the shards lets it and stays spread over many.
 A null key links nothing.  Repeated rows are placed each.  With no rows there are no shards.
 """
 
