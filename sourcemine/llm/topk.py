@@ -129,8 +129,13 @@ class Batch:
             bound = self.first[q] @ block.first.T + self.rest[q, None] * block.rest
             bound += slack[q, None] * (1 + block.norms)
             i, j = np.nonzero(bound >= self.least[q, None])
-            i = q[i]
-            score = np.einsum("nd,nd->n", self.x[i], block.x[j])
+            if 8 * len(i) > bound.size:
+                # Most may still enter: one product of matrices needs no copies.
+                score = (self.x[q] @ block.x.T)[i, j]
+                i = q[i]
+            else:
+                i = q[i]
+                score = np.einsum("nd,nd->n", self.x[i], block.x[j])
             ok = (score >= self.least[i]) & (self.rows[i] != block.rows[j])
             i, j, score = i[ok], j[ok], score[ok]
             if len(i):
@@ -177,7 +182,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: str, k: int = K) ->
     turn = rotation(rows, width)
     ordered = blocks_of(rows, width).select("row", "vec_id", "whole", "norm")
     head = ordered.orderBy(F.col("norm").desc(), "row").limit(HEAD).select("row", "vec_id", "whole").toArrow()
-    head_block = Block(head.combine_chunks().to_batches()[0], width, turn)
+    head = head.combine_chunks().to_batches()[0]
+    head_blocks = [Block(head.slice(at, BLOCK), width, turn) for at in range(0, head.num_rows, BLOCK)]
     asked = stored(rows.where(F.col("vec_id") != NO_ID).where(queries), "queries")
     n = asked.count()
     cuts = max(1, -(-n // QUERIES))
@@ -188,7 +194,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: str, k: int = K) ->
         if not own.num_rows:
             continue
         batch = Batch(own.combine_chunks().to_batches()[0], width, turn, k)
-        batch.search(head_block)
+        for block in head_blocks:
+            batch.search(block)
         shared = spark.sparkContext.broadcast((batch.afresh(batch.least), turn))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
