@@ -17,7 +17,7 @@ from functools import lru_cache
 
 WORD = "word_bpe_49k.json"
 BYTE = "byte_bpe_50k.json"
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 600_000  # of one generation; there are two
 # Printable ASCII, tab, newline, blank, and the letters of Latin-1 and Latin
 # Extended A (but dotted I), none of which combine with a neighbour.
 _OTHER = re.compile("[^\t\n\x20-\x7eÀ-ÖØ-öø-įı-ſ]")
@@ -43,15 +43,20 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """Ids of chunks as little-endian bytes; starts anew when it is full."""
+    """Ids of chunks as little-endian bytes.  When it is full it becomes the
+    older generation, from which chunks that come again move over."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
         if len(self) >= CACHED_CHUNKS:
+            self.older = self.copy()
             self.clear()
-        ids = self[chunk] = self.encode(chunk)
+        self[chunk] = ids
         return ids
 
 
