@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sourcemine.storage import new_scratch_path
+from sourcemine.storage import new_scratch_path, text_batches
 
 #: White space between words: blank, tab, newline, vertical tab, form feed, return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_from_texts(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for a stage that hands whole texts to Python: small batches
+    bound what a task holds at once on both sides."""
+    with text_batches(df.sparkSession):
+        return stored(df, label)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

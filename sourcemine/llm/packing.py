@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcemine.llm import tokens
-from sourcemine.llm.common import numbered, stored
+from sourcemine.llm.common import numbered, stored_from_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -232,7 +232,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
 def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces."""
     spark = rows.sparkSession
-    rows = stored(rows.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    rows = stored_from_texts(rows.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     histogram = rows.groupBy("length").count().collect()  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(solve({r["length"]: r["count"] for r in histogram}, capacity))
     slots = numbered(
