@@ -171,6 +171,11 @@ LISTING = [
     ("p_partkey % 11 = 0", "/tree/g<G>/q<K>/bin/python"),
 ]
 
+# Contents for that listing, one function each, and the files whose bytes are broken.
+TREE_NAME = "concat('f', replace(replace(path, '/', '_'), '.', '_'))"
+TREE_CONTENT = f"concat('def ', {TREE_NAME}, '():', chr(13), chr(10), '    return 1', chr(13), chr(10))"
+TREE_BROKEN = "path like '%3/m.py'"
+
 # Sources for the score: ``n`` is p_size, the number of repeated lines.
 MEASURED_CONTENT = pick(
     "p_partkey",

@@ -186,6 +186,11 @@ from (select *, {fx.PATH} as path from part)""",
         "venv_roots": listing + "select dir from roots",
         "venv_prune": listing
         + """select path from listing l where ends_with(path, '.py')
+  and not exists (select 1 from roots r where starts_with(l.path, concat(r.dir, '/')))""",
+        "tree_candidates": listing
+        + f"""select {fx.TREE_NAME} as name, path, 1 as line,
+  concat('def ', {fx.TREE_NAME}, '():', chr(10), '    return 1') as code
+from listing l where ends_with(path, '.py') and not ({fx.TREE_BROKEN})
   and not exists (select 1 from roots r where starts_with(l.path, concat(r.dir, '/')))""",
         "fn_units": base + "select path, name, line, code from raw_units where kind = 'function'",
         "method_units": base

@@ -163,6 +163,18 @@ def venv_prune(spark, sf_dir):
     return environments.prune_environments(environments.python_files(rows), roots).select("path")
 
 
+@query
+def tree_candidates(spark, sf_dir):
+    """Raw bytes of all files of a tree to candidates."""
+    files = listing(spark, sf_dir).select(
+        F.lit("tree").alias("repo"), "path", F.encode(F.expr(fx.TREE_CONTENT), "UTF-8").alias("text")
+    )
+    broken = F.when(F.expr(fx.TREE_BROKEN), F.concat("text", F.unhex(F.lit("FFFE")))).otherwise(F.col("text"))
+    files = files.select("repo", "path", broken.alias("content"))
+    found = discovery.retrieve_function_candidates(discovery.source_files(files, "/tree"))
+    return found.select("name", "path", "line", "code")
+
+
 # parsing
 
 

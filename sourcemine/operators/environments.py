@@ -30,19 +30,22 @@ def _tree_key(df: DataFrame) -> list[str]:
 def environment_roots(listing: DataFrame, scan_root: str | None = None) -> DataFrame:
     """Directories with a config file and an interpreter.  The scan root is never one.
 
-    Both sides of the semi join are marker files only: the suffix filters reach
-    the scan, and nothing else of the listing is shuffled.
+    One scan of the listing: only marker files pass the suffix filter, and the
+    map side keeps two flags a directory, so nothing else is shuffled.
     """
     keys = _tree_key(listing)
-
-    def holders(marker: str) -> DataFrame:
-        cut = F.substring(F.col("path"), F.lit(1), F.length("path") - (len(marker) + 1))
-        return listing.filter(F.col("path").endswith("/" + marker)).select(*keys, cut.alias("dir"))
-
-    interpreters = holders(fixed.ENV_INTERPRETERS[0])
-    for marker in fixed.ENV_INTERPRETERS[1:]:
-        interpreters = interpreters.union(holders(marker))
-    roots = holders(fixed.ENV_CONFIG).join(interpreters, [*keys, "dir"], "left_semi").distinct()
+    markers = [fixed.ENV_CONFIG, *fixed.ENV_INTERPRETERS]
+    found = F.coalesce(*[F.when(F.col("path").endswith("/" + m), F.lit(m)) for m in markers])
+    holder = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length("marker") - 1)
+    is_config = F.col("marker") == fixed.ENV_CONFIG
+    roots = (
+        listing.select(*keys, "path", found.alias("marker"))
+        .filter("marker IS NOT NULL")
+        .groupBy(*keys, holder.alias("dir"))
+        .agg(F.bool_or(is_config).alias("config"), F.bool_or(~is_config).alias("interpreter"))
+        .filter("config AND interpreter")
+        .select(*keys, "dir")
+    )
     return roots if scan_root is None else roots.filter(F.col("dir") != scan_root.rstrip("/"))
 
 

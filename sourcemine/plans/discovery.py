@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame
 
 from sourcemine.functions.score import keep_hard_units
 from sourcemine.operators import candidates as cand
+from sourcemine.operators.environments import environment_roots, prune_environments, python_files
 from sourcemine.operators.parse import parse_files
 from sourcemine.operators.units import code_units, last_units
+from sourcemine.sources.files import decode
 from sourcemine.storage import materialize, spread
 
 
+def source_files(files: DataFrame, scan_root: str | None = None) -> DataFrame:
+    """The scan over a table of all files ``repo, path, content``: source suffix,
+    nothing below a virtual environment, bytes decoded.
+
+    Environments are found and pruned on paths alone.  Texts meet the result
+    once, in an anti join whose other side are the pruned directories.
+    """
+    roots = environment_roots(files.select("repo", "path"), scan_root)
+    kept = prune_environments(python_files(files), roots).select(*files.columns)
+    return decode(kept) if dict(files.dtypes)["content"] == "binary" else kept
+
+
 def scored_units(units: DataFrame, smell: bool) -> DataFrame:
     """Last definition per file first, then the score filter on functions and whole classes."""
     units = last_units(units)

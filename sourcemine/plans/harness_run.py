@@ -23,7 +23,7 @@ from sourcemine.operators.completion import (
 )
 from sourcemine.operators.prompts import docs_text, lookup_template, render_prompts
 from sourcemine.operators.units import count_targets
-from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units
+from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units, source_files as scanned
 from sourcemine.sinks.tables import append_failures
 from sourcemine.storage import materialize, text_batches, write_table
 
@@ -115,11 +115,14 @@ def run(
     calls_per_task: int = 1000,
     params: Mapping[str, str] | None = None,
     ts: datetime | None = None,
+    scan_root: str | None = None,
 ) -> RunResult:
     """Everything below ``output/<table>/job=<job>``; the same job can be run again.
 
     ``source_files`` has ``repo, path, content`` and optionally ``error``; a path
-    is there once per ``repo``.  Each ``repo`` is one tree with its own names and
+    is there once per ``repo``.  The table may hold all files of a tree: only
+    sources outside virtual environments count, and bytes are decoded.  An
+    environment at ``scan_root`` itself is no reason to leave files out.  Each ``repo`` is one tree with its own names and
     its own run label, made of the last part of its name.  ``workers`` is the number
     of calls in flight.  The tables returned are those of this attempt: read them
     before the same job runs again.
@@ -149,7 +152,7 @@ def run(
     told = call_settings(model, settings["temperature"], params)
     texts = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
 
-    units = write_table(parsed_units(source_files, smell), place("units"), by="kind")
+    units = write_table(parsed_units(scanned(source_files, scan_root), smell), place("units"), by="kind")
     wanted = scored_units(units, smell)
     calls_per_job = workers * calls_per_task
     waves = max(1, -(-count_targets(wanted) // calls_per_job))

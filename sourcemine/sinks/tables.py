@@ -39,6 +39,8 @@ def _write_files(root: str):
                 result = {"run_id": row["run_id"], "name": row["name"], "file_path": target, "error": None}
                 partial = os.path.join(folder, f".{uuid.uuid4().hex}")
                 try:
+                    if not os.path.abspath(target).startswith(os.path.join(os.path.abspath(root), "")):
+                        raise OSError("outside the export folder")
                     os.makedirs(folder, exist_ok=True)
                     with open(partial, "w", encoding="utf-8") as file:
                         file.write(row["code"] or "")
@@ -55,7 +57,8 @@ def export_files(harnesses: DataFrame, root: str) -> DataFrame:
     """One file per harness in a folder that executors share, and a row on each.
 
     A file appears whole or not at all and a repeated task writes the same
-    bytes again, so lost executors do no harm.  Lazy: write the result.
+    bytes again, so lost executors do no harm.  A target outside ``root`` is an
+    error of its row.  Lazy: write the result.
     """
     return harnesses.select("run_id", "name", "file_name", F.col("code")).mapInArrow(
         _write_files(root), EXPORTED

@@ -299,6 +299,30 @@ def test_many_trees_in_one_run(spark, files, templates, docs):
     assert {run.split("(")[1].split(")")[0] for run in runs} == {"one", "two", "three"}
 
 
+def test_a_run_over_all_files_of_a_tree(spark, files, templates, docs):
+    body = "def {}(): pass\r\n"
+    sources = {
+        "/t/a.py": body.format("a"),
+        "/t/README.txt": body.format("readme"),
+        "/t/venv/pyvenv.cfg": "",
+        "/t/venv/bin/python": "",
+        "/t/venv/lib/dep.py": body.format("dep"),
+        "/t/venv2/b.py": body.format("b"),
+    }
+    raw = files(sources).withColumn("content", F.encode("content", "UTF-8"))
+    result = start(spark, lambda _: raw, templates, docs, new_scratch_path(spark, "t"), offline_client)
+    assert {r["name"] for r in result.candidates.collect()} == {"a", "b"}
+
+
+def test_export_stays_in_its_folder(spark, tmp_path):
+    rows = [("..", "out", "x.py", "1"), ("run", "../../out", "x.py", "1"), ("run", "in", "x.py", "1")]
+    df = spark.createDataFrame(rows, "run_id string, name string, file_name string, code string")
+    root = tmp_path / "root"
+    done = {r["name"]: r["error"] for r in export_files(df, str(root)).collect()}
+    assert done == {"out": "outside the export folder", "../../out": "outside the export folder", "in": None}
+    assert [p.name for p in tmp_path.iterdir()] == ["root"]
+
+
 def test_client_is_built_once_per_partition(spark, tmp_path):
     log = str(tmp_path)
 
