@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sourcemine.llm import tokens
-from sourcemine.llm.common import stored
+from sourcemine.llm.common import stored_from_texts
 from sourcemine.storage import new_scratch_path
 
 END_ID = 2
@@ -143,7 +143,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = tokens.WORD, en
     key = [F.col("doc_id"), F.xxhash64("text"), F.length("text")]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange(*key).sortWithinPartitions(*key)
-    return stored(ordered.mapInArrow(write, "part bigint, file string, n_documents bigint, n_ids bigint"), "manifest")
+    return stored_from_texts(ordered.mapInArrow(write, "part bigint, file string, n_documents bigint, n_ids bigint"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
