@@ -124,7 +124,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = tokens.WORD, en
     the files), ``file``, ``n_documents``, ``n_ids``."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(vocabulary), end_id.to_bytes(4, "little")
+        encoder = tokens.encoder(vocabulary, tokens.FEWER_CHUNKS)
+        end = end_id.to_bytes(4, "little")
         rows = ((i, encoder.encode(t) + end) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         head = next(rows, None)
         if head is None:

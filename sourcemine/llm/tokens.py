@@ -18,6 +18,7 @@ from functools import lru_cache
 WORD = "word_bpe_49k.json"
 BYTE = "byte_bpe_50k.json"
 CACHED_CHUNKS = 600_000  # of one generation; there are two
+FEWER_CHUNKS = 300_000  # for stages whose workers hold more than texts and ids
 # Printable ASCII, tab, newline, blank, and the letters of Latin-1 and Latin
 # Extended A (but dotted I), none of which combine with a neighbour.
 _OTHER = re.compile("[^\t\n\x20-\x7eÀ-ÖØ-öø-įı-ſ]")
@@ -46,14 +47,14 @@ class _Chunks(dict):
     """Ids of chunks as little-endian bytes.  When it is full it becomes the
     older generation, from which chunks that come again move over."""
 
-    def __init__(self, encode):
-        self.encode, self.older = encode, {}
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.encode(chunk)
-        if len(self) >= CACHED_CHUNKS:
+        if len(self) >= self.most:
             self.older = self.copy()
             self.clear()
         self[chunk] = ids
@@ -67,7 +68,7 @@ class Encoder:
     counts as empty, and an empty text has no ids.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, cached_chunks: int = CACHED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +79,7 @@ class Encoder:
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.known = _Chunks(self._chunk)
+        self.known = _Chunks(self._chunk, cached_chunks)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -114,6 +115,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, cached_chunks: int = CACHED_CHUNKS) -> Encoder:
     """One encoder a worker process and vocabulary; its cache serves all tasks."""
-    return Encoder(name)
+    return Encoder(name, cached_chunks)
