@@ -199,6 +199,16 @@ MEASURED_CONTENT = pick(
     ],
 )
 
+# The same sources under names that meet across files.
+SMELL_CONTENT = MEASURED_CONTENT
+for _mine, _shared in (
+    ("def g_<K>(x, y):\n", "def s_<N>(x, y):\n"),
+    ("def h_<K>(x):\n", "def s_<N>(x):\n"),
+    ("class D_<K>:\n", "class S_<M>:\n"),
+    ("class E_<K>:\n    def e(self):\n", "class S_<M>:\n    def run(self):\n"),
+):
+    SMELL_CONTENT = SMELL_CONTENT.replace(sql_text(_mine)[7:-1], sql_text(_shared)[7:-1])
+
 # Model answers over ``conversations``.
 FENCE = "repeat(chr(96), 3)"
 ANSWER_CASES = [

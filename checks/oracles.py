@@ -209,6 +209,16 @@ from part where p_partkey % {variants} <> 5""",
   (select count(*) from candidates) as candidates""",
         "fn_last_in_file": base + "select path, kind, name, line, code from last_units",
         "candidate_dedup": base + "select name, path, line, code from fn_candidates",
+        "smell_candidates": scored
+        + """, hard as (
+  select concat('s_', cast(p_partkey % 97 as string)) as name, 'function' as kind, path, 1 as line
+  from scored where v in (0, 1) and mi < 65.0
+  union all
+  select concat('S_', cast(p_partkey % 61 as string), '.', m), 'method', path, case m when 'run' then 5 else 8 + n end
+  from scored, (values ('run'), ('stop')) t(m) where v = 2 and mi < 65.0
+)
+select name, kind, path, line from hard
+qualify row_number() over (partition by name order by path desc) = 1""",
         "candidate_union": base + "select name, kind, path, line, code from candidates",
         "method_focus": base + "select path, name, line, target from live_methods",
         "mi_score": f"""
@@ -272,4 +282,15 @@ from (select {answer_run} as run_id, name, case when coalesce(response, '') = ''
         + f"""select name, case when left({digest}, 1) in ('0', '1', '2') then 'empty'
   when left({digest}, 1) = '3' then 'no block' else 'saved' end as outcome,
   case when left({digest}, 1) in ('0', '1', '2', '3') then '' else concat('# ', {digest}, chr(10)) end as code from prompts""",
+        "harness_rerun_outcomes": base
+        + f"""select {_format(fixed.RUN_LABEL_FORMAT, source="'repo'", model="'second.one'", time="'01-02-24_03-04-05pm'")} as run_id,
+  name, concat('# second/one ', {digest}, chr(10)) as code from prompts""",
+        "run_totals": base
+        + f"""select (select count(*) from part) as files_scanned,
+  (select count(*) from part where p_partkey % {variants} = 5) as files_failed,
+  (select count(*) from fn_candidates) as functions_found,
+  (select count(*) from method_candidates) as methods_found,
+  (select count(*) from candidates) as candidates,
+  (select count(*) from prompts where left({digest}, 1) not in ('0', '1', '2', '3')) as harnesses,
+  (select count(*) from prompts where left({digest}, 1) in ('0', '1', '2', '3')) as failures""",
     }

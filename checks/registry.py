@@ -13,7 +13,7 @@ from sourcemine import fixed_values as fixed
 from sourcemine.functions import score, text
 from sourcemine.operators import candidates as cand
 from sourcemine.operators import environments, outcomes, prompts, units
-from sourcemine.operators.completion import complete, offline_client
+from sourcemine.operators.completion import complete, offline_client, shaky_client, steady_client
 from sourcemine.operators.parse import parse_files
 from sourcemine.plans import discovery, harness_run
 from sourcemine.sources.files import decode
@@ -230,6 +230,19 @@ def candidate_dedup(spark, sf_dir):
     return cand.function_candidates(last).select("name", "path", "line", "code")
 
 
+@query
+def smell_candidates(spark, sf_dir):
+    """Files whose names meet: one that the score drops never overwrites another."""
+    files = table(spark, sf_dir, "part").select(
+        F.lit("m").alias("repo"),
+        F.expr("concat('/m/', cast(p_partkey as string), '.py')").alias("path"),
+        F.expr(fx.SMELL_CONTENT).alias("content"),
+    )
+    stored = materialize(discovery.parsed_units(files, smell=True), "units", by="kind")
+    found = discovery.retrieve_candidates(discovery.scored_units(stored, smell=True))
+    return found.select("name", "kind", "path", "line")
+
+
 @query
 def candidate_union(spark, sf_dir):
     stored = stored_units(spark, sf_dir)
@@ -420,7 +433,7 @@ def failure_rows(spark, sf_dir):
     return failed.select("run_id", "context", "name", "error_msg", entry.alias("entry"))
 
 
-def whole_run(spark: SparkSession, sf_dir: str) -> harness_run.RunResult:
+def whole_run(spark: SparkSession, sf_dir: str, **changed) -> harness_run.RunResult:
     return harness_run.run(
         spark,
         source_files(spark, sf_dir),
@@ -428,11 +441,14 @@ def whole_run(spark: SparkSession, sf_dir: str) -> harness_run.RunResult:
         docs=benchmark_docs(spark, sf_dir),
         docs_block="0",
         prompt_id="item_1",
-        client_factory=offline_client,
-        model="offline/none",
-        output=new_scratch_path(spark, "run"),
-        job="check",
-        ts=datetime(2024, 1, 2, 15, 4, 5),
+        **{
+            "client_factory": offline_client,
+            "model": "offline/none",
+            "output": new_scratch_path(spark, "run"),
+            "job": "check",
+            "ts": datetime(2024, 1, 2, 15, 4, 5),
+            **changed,
+        },
     )
 
 
@@ -446,3 +462,18 @@ def harness_run_outcomes(spark, sf_dir):
         F.lit("").alias("code"),
     )
     return result.harnesses.select("name", F.lit("saved").alias("outcome"), "code").union(failed)
+
+
+@query
+def harness_rerun_outcomes(spark, sf_dir):
+    """One job three times: two attempts meet outages, the second and third ask another model."""
+    output = new_scratch_path(spark, "rerun")
+    for model, client in (("first/one", shaky_client), ("second/one", shaky_client), ("second/one", steady_client)):
+        result = whole_run(spark, sf_dir, output=output, model=model, client_factory=client)
+    return result.harnesses.select("run_id", "name", "code")
+
+
+@query
+def run_totals(spark, sf_dir):
+    names = ["files_scanned", "files_failed", "functions_found", "methods_found", "candidates", "harnesses", "failures"]
+    return whole_run(spark, sf_dir).totals.select(*names)

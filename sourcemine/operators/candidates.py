@@ -78,14 +78,9 @@ def method_candidates(units: DataFrame) -> DataFrame:
 
 
 def union_candidates(functions: DataFrame, methods: DataFrame) -> DataFrame:
-    """Both tables; on a shared key the right side wins."""
-    ranked = functions.select(*COLUMNS, F.lit(0).alias("side")).unionByName(
-        methods.select(*COLUMNS, F.lit(1).alias("side"))
-    )
-    rest = [c for c in COLUMNS if c not in ("repo", "name")]
-    return (
-        ranked.groupBy("repo", "name")
-        .agg(F.max_by(F.struct(*rest), "side").alias("row"))
-        .select("repo", "name", "row.*")
-        .select(*COLUMNS)
-    )
+    """Both tables; on a shared key the right side wins.  Keys decide, so the
+    texts of the right side are not moved at all."""
+    taken = methods.select(F.col("repo").alias("_repo"), F.col("name").alias("_name"))
+    same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col("name").eqNullSafe(F.col("_name"))
+    left = functions.select(*COLUMNS).join(taken, same, "left_anti")
+    return left.unionByName(methods.select(*COLUMNS))

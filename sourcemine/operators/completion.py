@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,22 +30,33 @@ def _checked(texts: list[str | None]) -> list[str | None]:
     return texts
 
 
-def _complete_batches(factory: ClientFactory, settings: dict):
+def _complete_batches(factory: ClientFactory, settings: dict, calls_in_flight: int):
     schema = to_arrow_schema(schemas.COMPLETIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory()
-        for batch in batches:
-            for start in range(0, batch.num_rows, FLUSH_ROWS):
-                rows = batch.slice(start, FLUSH_ROWS).to_pylist()
-                for row in rows:
-                    row["choices"], row["error"] = None, None
-                    try:
-                        texts = _checked(client(row.pop("prompt"), **settings))
-                        row["choices"] = [{"message": {"content": text}} for text in texts]
-                    except Exception as error:  # noqa: BLE001 - a candidate fails alone
-                        row["error"] = f"{type(error).__name__}: {error}"
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        def answered(row: dict) -> dict:
+            row["choices"], row["error"] = None, None
+            try:
+                texts = _checked(client(row.pop("prompt"), **settings))
+                row["choices"] = [{"message": {"content": text}} for text in texts]
+            except Exception as error:  # noqa: BLE001 - a candidate fails alone
+                row["error"] = f"{type(error).__name__}: {error}"
+            return row
+
+        # A call waits far longer than it computes, so a core may hold several;
+        # answers keep the order of their rows, a batch bounds what is in hand.
+        with ThreadPoolExecutor(calls_in_flight) as pool:
+            for batch in batches:
+                done = []
+                for row in pool.map(answered, batch.to_pylist()):
+                    done.append(row)
+                    if len(done) == FLUSH_ROWS:
+                        yield pa.RecordBatch.from_pylist(done, schema=schema)
+                        done = []
+                if done:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     return run
 
@@ -75,11 +87,13 @@ def complete(
     model: str = "",
     params: Mapping[str, str] | None = None,
     attempt: int = 1,
+    calls_in_flight: int = 1,
 ) -> DataFrame:
     """One answer per row; a client that raises gives a null answer and its message.
 
-    The client is built once per partition, so the number of partitions is the
-    number of calls in flight.  Answers cost money and differ from call to
+    The client is built once per partition and called from up to
+    ``calls_in_flight`` threads there (with more than one it has to bear that).
+    Answers cost money and differ from call to
     call: write the result before reading it more than once.
     """
     settings = call_settings(model, temperature, params)
@@ -88,7 +102,7 @@ def complete(
         with_request_sha(keyed, settings)
         .withColumn("attempt", F.lit(attempt))
         .select("repo", "name", "prompt_sha", "request_sha", "attempt", "prompt")
-        .mapInArrow(_complete_batches(client_factory, settings), schemas.COMPLETIONS)
+        .mapInArrow(_complete_batches(client_factory, settings, calls_in_flight), schemas.COMPLETIONS)
     )
 
 
@@ -108,3 +122,24 @@ def offline_client() -> Client:
         return [f"Here it is:\n```python\n\n# {digest}\n```\nDone.", "unused"]
 
     return answer
+
+
+def steady_client() -> Client:
+    """An offline client that answers every prompt and names its model."""
+
+    def answer(prompt: str, model: str = "", **_settings) -> list[str | None]:
+        return [f"```python\n# {model} {hashlib.sha256(prompt.encode()).hexdigest()}\n```"]
+
+    return answer
+
+
+def shaky_client() -> Client:
+    """The same, but down for one prompt in four."""
+    steady = steady_client()
+
+    def answer(prompt: str, **settings) -> list[str | None]:
+        if hashlib.sha256(prompt.encode()).hexdigest()[0] in "0123":
+            raise ConnectionError("no route to the model")
+        return steady(prompt, **settings)
+
+    return answer

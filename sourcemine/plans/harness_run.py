@@ -22,9 +22,9 @@ from sourcemine.operators.completion import (
     with_request_sha,
 )
 from sourcemine.operators.prompts import docs_text, lookup_template, render_prompts
-from sourcemine.operators.units import count_targets
+from sourcemine.operators.units import count_targets, discovery_summary
 from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units, source_files as scanned
-from sourcemine.sinks.tables import append_failures
+from sourcemine.sinks.tables import append_failures, export_files
 from sourcemine.storage import materialize, text_batches, write_table
 
 
@@ -37,6 +37,7 @@ class RunResult:
     completions: DataFrame
     harnesses: DataFrame
     failures: DataFrame
+    totals: DataFrame
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -116,6 +117,8 @@ def run(
     params: Mapping[str, str] | None = None,
     ts: datetime | None = None,
     scan_root: str | None = None,
+    calls_in_flight: int = 1,
+    export: str | None = None,
 ) -> RunResult:
     """Everything below ``output/<table>/job=<job>``; the same job can be run again.
 
@@ -124,7 +127,9 @@ def run(
     sources outside virtual environments count, and bytes are decoded.  An
     environment at ``scan_root`` itself is no reason to leave files out.  Each ``repo`` is one tree with its own names and
     its own run label, made of the last part of its name.  ``workers`` is the number
-    of calls in flight.  The tables returned are those of this attempt: read them
+    of tasks that call, each from ``calls_in_flight`` threads.  ``export`` is a shared
+    folder for the accepted files; one that cannot be saved is a failure.  ``totals``
+    is one row on the run: settings, files, units, candidates, outcomes.  The tables returned are those of this attempt: read them
     before the same job runs again.
     """
     workers = workers or spark.sparkContext.defaultParallelism
@@ -172,6 +177,7 @@ def run(
         temperature=settings["temperature"],
         model=model,
         params=params,
+        calls_in_flight=calls_in_flight,
     )
     answers = completions.select(
         text_rules.run_label(text_rules.base_name(F.col("repo")), F.lit(model), at).alias("run_id"),
@@ -179,17 +185,25 @@ def run(
         text_rules.first_choice(F.col("choices")).alias("response"),
     )
     harnesses = write_table(outcomes.accepted(answers), place("harnesses"))
-    failures = write_table(outcomes.rejected(answers, at), f"{place('failures')}/attempt={attempt}")
+    failed = outcomes.rejected(answers, at)
+    if export:
+        exported = write_table(export_files(harnesses, export), place("exports"))
+        failed = failed.unionByName(outcomes.not_exported(exported, at))
+    failures = write_table(failed, f"{place('failures')}/attempt={attempt}")
     # Which syntax counts as an error depends on the parser's version.
-    write_table(
-        spark.range(0, 1, 1, 1).select(
+    totals = write_table(
+        discovery_summary(units, candidates).select(
             at.alias("ts"),
             F.lit(prompt_id).alias("prompt_id"),
             F.lit(model).alias("model"),
             F.lit(settings["temperature"]).alias("temperature"),
             F.lit(smell).alias("smell"),
             F.lit(platform.python_version()).alias("python_version"),
+            F.lit(attempt).alias("attempt"),
+            "*",
+            F.lit(harnesses.count()).alias("harnesses"),
+            F.lit(failures.count()).alias("failures"),
         ),
         place("runs"),
     )
-    return RunResult(units, candidates, completions, harnesses, failures)
+    return RunResult(units, candidates, completions, harnesses, failures, totals)

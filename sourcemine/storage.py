@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 # Rows per Arrow batch where a row is a whole file or a whole prompt.  Spark's
 # own default of 10,000 such rows would be gigabytes in one Python worker.
@@ -55,7 +56,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/sourcemine/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/sourcemine/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has made so far, and
+    only those.  Results that are still read from them must be written before."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:

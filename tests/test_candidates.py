@@ -118,6 +118,15 @@ def test_union_prefers_the_right_side(files):
     assert winners(whole) == winners(discovery.retrieve_candidates(units)) == {"f": "a.py", "C.m": "a.py"}
 
 
+def test_union_sorts_no_texts(files):
+    units = stored(files, {"a.py": "def f(): return 1\nclass C:\n    def m(self): pass\n"})
+    functions = units.filter("kind = 'function'").selectExpr(
+        "repo", "name", "kind", "path", "line", "null method", "null class_code", "code"
+    )
+    plan = cand.union_candidates(functions, functions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Aggregate" not in plan
+
+
 def test_brute_force_over_a_skewed_tree(files):
     """A third of all files define the same function and the same class."""
     texts = {}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sourcemine import fixed_values as fixed
 from sourcemine import schemas
 from sourcemine.operators import outcomes, prompts
-from sourcemine.operators.completion import complete, offline_client
+from sourcemine.operators.completion import complete, offline_client, steady_client
 from sourcemine.plans.harness_run import run
 from sourcemine.sinks.tables import export_files
 from sourcemine.storage import new_scratch_path
@@ -288,8 +288,69 @@ def test_no_candidates_end_the_run_quietly(spark, files, templates, docs):
 
 
 def test_score_filter_in_a_run(spark, files, templates, docs):
-    result = start(spark, files, templates, docs, new_scratch_path(spark, "t"), offline_client, smell=True)
-    assert result.candidates.count() == 0
+    hard = "def {}(x, y):\n" + "    if x > 1 and y < x + 1:\n        y = y * x\n" * 40 + "    return y\n"
+    sources = {
+        "a.py": hard.format("kept") + "def easy(x):\n    return x\n",
+        "b.py": "def kept(x):\n    return x\n" + hard.format("late"),
+    }
+    result = start(spark, files, templates, docs, new_scratch_path(spark, "t"), offline_client, sources=sources, smell=True)
+    # The easy ``kept`` of b.py is dropped and does not replace the one of a.py.
+    assert {(r["name"], r["path"]) for r in result.candidates.collect()} == {("kept", "a.py"), ("late", "b.py")}
+    easy = start(spark, files, templates, docs, new_scratch_path(spark, "t"), offline_client, smell=True)
+    assert easy.candidates.count() == 0
+
+
+def test_export_and_totals_of_a_run(spark, files, templates, docs, tmp_path):
+    log, root = tmp_path / "calls", tmp_path / "out"
+    log.mkdir()
+    sources = {"a.py": "def f(): pass\ndef g(): pass\n", "b.py": "def (\n", "c.py": f"def {'n' * 300}(): pass\n"}
+    output = new_scratch_path(spark, "t")
+    result = start(spark, files, templates, docs, output, steady_client, sources=sources, export=str(root))
+    label = "fuzzing(repo)using(offline.noneon(01-02-24_03-04-05pm)"
+    assert {p.parent.name for p in (root / label).rglob("*.py")} == {"f", "g"}
+    failed = result.failures.collect()
+    assert [r["name"] for r in failed] == ["n" * 300]
+    assert failed[0]["error_msg"].startswith("Unexpected error processing ")
+    row = result.totals.first().asDict()
+    names = ["attempt", "files_scanned", "files_failed", "functions_found", "methods_found", "candidates", "harnesses", "failures"]
+    assert [row[n] for n in names] == [1, 3, 1, 3, 0, 3, 3, 1]
+    again = start(spark, files, templates, docs, output, steady_client, sources=sources, export=str(root))
+    assert again.totals.first()["attempt"] == 2
+    # The report of the first attempt is still there.
+    report = spark.read.parquet(f"{output}/failures/job=j1")
+    assert {r["attempt"] for r in report.collect()} == {1, 2}
+
+
+def test_calls_in_flight_keep_order_and_bound(spark, tmp_path):
+    log = str(tmp_path)
+
+    def factory():
+        import os
+        import threading
+        import time
+
+        lock, now, most = threading.Lock(), [0], [0]
+
+        def call(prompt, **settings):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                open(os.path.join(log, f"{most[0]}"), "w").close()
+            time.sleep(0.02)
+            with lock:
+                now[0] -= 1
+            if prompt == "7":
+                raise RuntimeError("down")
+            return [prompt]
+
+        return call
+
+    asked = spark.range(0, 150, 1, 1).selectExpr("'r' repo", "cast(id as string) name", "cast(id as string) prompt")
+    rows = complete(asked, factory, 0.1, calls_in_flight=5).collect()
+    assert [r["name"] for r in rows] == [str(i) for i in range(150)]
+    assert [r["name"] for r in rows if r["error"]] == ["7"]
+    assert all(r["choices"][0]["message"]["content"] == r["name"] for r in rows if not r["error"])
+    assert max(int(p.name) for p in tmp_path.iterdir()) == 5
 
 
 def test_many_trees_in_one_run(spark, files, templates, docs):

@@ -1,4 +1,4 @@
-from sourcemine.storage import materialize, new_scratch_path, partition_count, scratch_dir, spread
+from sourcemine.storage import drop_scratch, materialize, new_scratch_path, partition_count, scratch_dir, spread
 
 
 def test_scratch_follows_the_session_setting(spark):
@@ -43,3 +43,15 @@ def test_tables_by_value_keep_all_rows(spark):
     assert sorted(again.select("id", "kind").collect(), key=lambda r: r["id"]) == df.orderBy("id").collect()
     plan = again.filter("kind = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan
+
+
+def test_dropping_scratch_removes_what_was_made(spark):
+    import os
+
+    kept = f"{scratch_dir(spark)}/other"
+    spark.range(3).write.mode("overwrite").parquet(kept)
+    path = new_scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert drop_scratch(spark) >= 1
+    assert not os.path.exists(path) and os.path.exists(kept)
+    assert drop_scratch(spark) == 0
