@@ -2,16 +2,19 @@
 
 Documents that share a link key are linked.  All start in shards by their
 place, evenly.  In a round every key looks where its documents are and names
-the shard with most of them that still has room; its other documents ask to
-move there.  Each shard admits as many as its quota allows, in the order of a
-hash of the key, so that whole groups come in one after the other.  Rounds end
-when nobody moves.  Then every shard gives up what it holds above an even share
-and those below are filled, unlinked documents first.  In the end the counts
-of any two shards differ by one at most (law ``rows``).
+the shard with most of them that has room for the rest, or another one with
+room for all; its other documents ask to move there.  Each shard admits as many
+as its quota allows, in the order of a hash of the key, so that whole groups
+come in one after the other; what leaves a shard in a round is room in the same
+round.  Rounds end when no key that fits a shard is cut, nobody moves, or
+``PATIENCE`` rounds bring no fewer cut keys.  Then every shard gives up what it
+holds above an even share and those below are filled, unlinked documents first.
+In the end the counts of any two shards differ by one at most (law ``rows``), so
+a few groups at the edges of what is given up may be cut again (``cut_keys``).
 
 A key with a third of all rows is one row a shard when it is counted, is joined
-by a plain join that Spark can split.  It does not fit any shard, so it gathers
-only as far as the room of the shards lets it and stays spread over many.
+by a plain join that Spark can split.  A key larger than an even shard fits none,
+so it asks for nothing and stays spread over all; its rows fill up like unlinked ones.
 A null key links nothing.  Repeated rows are placed each.  With no rows there are no shards.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql.window import Window
 from sourcemine.llm.common import numbered, stored
 
 SHARDS = 16
-ROUNDS = 6
+PATIENCE = 5  # rounds without fewer cut keys before the rounds end
 ROOM = 0.06  # share of a shard that rounds may fill beyond its even part
 
 
@@ -38,33 +41,72 @@ def _by_shard(values: list[int], shard: str = "shard"):
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col(shard) + 1)
 
 
-def _round(rows: DataFrame, shards: int, most: int, number: int) -> tuple[DataFrame, int]:
-    """One round over linked rows ``row, key, shard`` plus single ones."""
+def _quotas(counts: list[int], asks: dict[tuple[int, int], int], most: int) -> list[int]:
+    """Rows each goal may admit, from the rows that ask to go from a shard to a
+    goal: what leaves a shard in the same round makes room in it."""
+    shards = range(len(counts))
+    flow = {pair: float(n) for pair, n in asks.items()}
+    while True:
+        into, out = [0.0] * len(counts), [0.0] * len(counts)
+        for (s, g), n in flow.items():
+            into[g] += n
+            out[s] += n
+        limit = [max(0.0, most - counts[g] + out[g]) for g in shards]
+        over = [g for g in shards if into[g] > limit[g] + 0.5]
+        if not over:
+            return [int(min(into[g], limit[g]) + 0.5) for g in shards]
+        for (s, g), n in flow.items():
+            if g in over:
+                flow[s, g] = n * limit[g] / into[g]
+
+
+def _round(rows: DataFrame, shards: int, most: int) -> tuple[DataFrame, int, int]:
+    """One round over linked rows ``row, key, size, shard`` plus single ones;
+    also the keys that were cut before it and the rows it moved."""
     counts = _counts(rows, shards)
-    room = [max(0, most - n) for n in counts]
+    room = [most - n for n in counts]
     linked = rows.where("linked")
-    held = linked.groupBy("key", "shard").agg(F.count("*").alias("n"))
-    # Most documents first; ties by a hash, so that small groups do not all
-    # choose the same shard.  A full shard only keeps what it has.
+    held = linked.groupBy("key", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    # Shards with room for the rest first, then most documents; ties by a hash,
+    # so that small groups do not all choose the same shard.
     rank = F.struct(
-        (_by_shard(room) > 0).alias("room"), F.col("n"), F.xxhash64("key", "shard").alias("tie"), F.col("shard")
+        (_by_shard(room) >= F.col("size") - F.col("n")).alias("fits"),
+        F.col("n"),
+        F.xxhash64("key", "shard").alias("tie"),
+        F.col("shard"),
     )
     # Groups that lie in one shard already have nothing to ask.
-    chosen = held.groupBy("key").agg(F.max(rank).alias("best"), F.count("*").alias("n_shards"))
-    chosen = chosen.where("n_shards > 1").select("key", F.col("best.shard").alias("goal"))
+    chosen = held.groupBy("key").agg(F.max(rank).alias("best"), F.max("size").alias("size"), F.count("*").alias("held_by"))
+    # Where none of its shards has room for all of a group, one that has takes it.
+    rooms = ", ".join(f"{n}L" for n in room)
+    chosen = chosen.where("held_by > 1").withColumn(
+        "open", F.expr(f"filter(sequence(0, {shards - 1}), s -> element_at(array({rooms}), s + 1) >= size)")
+    )
+    other = F.try_element_at("open", F.pmod(F.xxhash64("key"), F.greatest(F.size("open"), F.lit(1))).cast("int") + 1)
+    chosen = chosen.select(
+        "key", F.when(F.col("best.fits"), F.col("best.shard")).otherwise(F.coalesce(other, "best.shard")).alias("goal")
+    )
     asking = linked.join(chosen, "key").where(F.col("goal") != F.col("shard"))
-    order = [F.col("goal"), F.xxhash64(F.lit(number), "key"), F.col("row")]
-    queue = numbered(asking.select("row", "key", "goal"), order, "queue", ["goal"], "place")
-    admitted = stored(queue.where(F.col("place") < _by_shard(room, "goal")).select("row", "goal"), "moves")
+    asking = stored(asking.select("row", F.xxhash64("key").alias("tie"), "shard", "goal"), "asking")
+    asks = {(r["shard"], r["goal"]): r["n"] for r in asking.groupBy("shard", "goal").agg(F.count("*").alias("n")).collect()}
+    if not asks:
+        return rows, 0, 0
+    cut = asking.select("tie").distinct().count()
+    quotas = _quotas(counts, asks, most)
+    # The same order in every round: a group that came in first in part goes on first.
+    order = [F.col("goal"), F.col("tie"), F.col("row")]
+    queue = numbered(asking.select("row", "tie", "goal"), order, "queue", ["goal"], "place")
+    admitted = stored(queue.where(F.col("place") < _by_shard(quotas, "goal")).select("row", "goal"), "moves")
     moved = admitted.count()
     if not moved:
-        return rows, 0
+        return rows, cut, 0
     after = rows.join(admitted, "row", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal")
-    return stored(after, "labels"), moved
+    return stored(after, "labels"), cut, moved
 
 
-def _level(rows: DataFrame, shards: int) -> DataFrame:
-    """Move the fewest rows that make the counts differ by one at most."""
+def _level(rows: DataFrame, shards: int, linked: bool = True) -> DataFrame:
+    """Move the fewest rows that make the counts differ by one at most; without
+    ``linked`` as many of them as are not linked."""
     counts = _counts(rows, shards)
     n = sum(counts)
     order = sorted(range(shards), key=lambda s: -counts[s])  # the fullest keep the odd rows
@@ -76,6 +118,12 @@ def _level(rows: DataFrame, shards: int) -> DataFrame:
     if not any(above):
         return rows
     giving = rows.where(_by_shard(above) > 0)
+    if not linked:
+        giving = giving.where("NOT linked")
+        free = _counts(giving, shards)
+        above = [min(a, n) for a, n in zip(above, free)]
+        if not any(above):
+            return rows
     key = F.coalesce(F.xxhash64("key"), F.lit(0))
     queue = numbered(
         giving.select("row", "shard", "linked", F.when(F.col("linked"), key).otherwise(0).alias("tie")),
@@ -98,24 +146,48 @@ def _level(rows: DataFrame, shards: int) -> DataFrame:
     return stored(after, "even")
 
 
-def sharded(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``shard`` and ``slot`` to stored rows that hold ``row`` (unique) and
-    ``key`` (null: no link)."""
-    narrow = rows.select("row", "key")
-    sizes = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 AND key IS NOT NULL")
+def propagated(rows: DataFrame, shards: int) -> DataFrame:
+    """Shards of stored ``row, key`` after the rounds, not yet even."""
+    n = rows.count()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1 AND key IS NOT NULL")
+    # A key that no even shard can hold asks for nothing: its rows fill up.
+    fitting = sizes.where(F.col("size") <= n // shards)
     labelled = (
-        narrow.join(sizes.select("key", F.lit(True).alias("linked")), "key", "left")
-        .withColumn("linked", F.coalesce("linked", F.lit(False)))
+        rows.join(fitting, "key", "left")
+        .withColumn("linked", F.col("size").isNotNull())
         .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     )
     labelled = stored(labelled, "labels")
-    n = labelled.count()
     most = int(n / shards * (1 + ROOM)) + 1
-    for number in range(rounds):
-        labelled, moved = _round(labelled, shards, most, number)
-        if not moved:
-            break
-    labelled = _level(labelled, shards)
+    least, waited = None, 0
+    while True:
+        labelled, cut, moved = _round(labelled, shards, most)
+        if not cut:
+            return labelled
+        waited = 0 if least is None or cut < least else waited + 1
+        least = cut if least is None else min(cut, least)
+        if waited > PATIENCE:
+            return labelled
+        if waited or not moved:
+            # Single rows make way for groups.
+            before = labelled
+            labelled = _level(labelled, shards, linked=False)
+            if not moved and labelled is before:
+                return labelled
+
+
+def cut_keys(placed: DataFrame) -> DataFrame:
+    """Keys of ``key, shard`` whose rows lie in several shards, with their size."""
+    found = placed.where("key IS NOT NULL").groupBy("key").agg(
+        F.count("*").alias("size"), F.min("shard").alias("low"), F.max("shard").alias("high")
+    )
+    return found.where("low < high").select("key", "size")
+
+
+def sharded(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Add ``shard`` and ``slot`` to stored rows that hold ``row`` (unique) and
+    ``key`` (null: no link)."""
+    labelled = _level(propagated(rows.select("row", "key"), shards), shards)
     # Documents of one key stand together in a shard.
     order = [F.col("shard"), F.xxhash64("key"), F.col("row")]
     placed = numbered(labelled.select("row", "shard", "key"), order, "slots", ["shard"], "slot")

@@ -92,6 +92,20 @@ def test_shards(spark):
     assert sharding.sharded(rows.limit(0)).count() == 0
 
 
+def test_shards_keep_groups_whole_when_most_rows_are_copies(spark):
+    from sourcemine.llm.common import stored
+
+    size = F.when(F.col("id") < 6000, 2).when(F.col("id") < 11000, 5).otherwise(100)
+    key = F.when(F.col("id") < 16000, F.concat_ws("-", size, F.floor(F.col("id") / size)))
+    rows = stored(spark.range(20000).select(F.col("id").alias("row"), key.alias("key")), "copies")
+    got = sharding.sharded(rows).join(rows, "row")
+    counts = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(counts) == 20000 and len(counts) == 16 and max(counts) - min(counts) <= 1
+    n_cut = sharding.cut_keys(got).count()
+    print("cut groups", n_cut)
+    assert n_cut <= 2 * 16  # 3,000 + 1,000 + 50 groups; levelling may cut one at each edge
+
+
 def test_quality_measures_and_policies(spark, docs, none):
     run = "a b c d e f g h "
     text = run * 2 + "tail\nline\nline"
