@@ -134,7 +134,7 @@ def op8_chat_prefix_targets(spark, sf_dir):
         F.lit(trap).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").unionByName(added)
-    return chat.digests(chat.written(turns))
+    return chat.digests(chat.formatted(turns))
 
 
 @query

@@ -281,6 +281,34 @@ def test_chat(spark):
     assert chat.digests(rows.limit(0)).count() == 0
 
 
+def test_chat_examples_are_rows_checked_against_their_prefix(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b<"), (1, 1, "assistant", "b<"), (1, 2, None, None),
+             (1, 3, "assistant", ""), (None, 0, "assistant", "c")]
+    rows = chat.formatted(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    lines, examples = chat.written(rows)
+    texts = {}
+    for r in sorted(lines.collect(), key=lambda r: r["start"]):
+        texts[r["conv_id"]] = texts.get(r["conv_id"], "") + r["formatted"]
+    found = sorted(((r["conv_id"] or 0, r["example"]), r) for r in examples.collect())
+    assert [k for k, _ in found] == [(0, 0), (1, 0), (1, 1), (1, 2)]
+    full = {(r["conv_id"] or 0, r["example"]): r for r in chat.expanded(rows).collect()}
+    for k, r in found:
+        text = texts[r["conv_id"]]
+        context = text[: r["context_end"]]
+        assert hashlib.sha256(context.encode()).hexdigest() == r["context_sha256"]
+        assert full[k]["text"].startswith(context) and full[k]["loss_start"] == r["target_start"]
+        assert text[r["target_start"] :].startswith(["c", "b\\<", "b\\<", ""][found.index((k, r))])
+    one = F.col("example") == 1
+    for wrong in (
+        examples.withColumn("context_end", F.when(one, 0).otherwise(F.col("context_end"))),
+        examples.withColumn("context_sha256", F.when(one, "x").otherwise(F.col("context_sha256"))),
+        examples.withColumn("target_length", F.when(one, 1).otherwise(F.col("target_length"))),
+        examples.where(~one),
+    ):
+        with pytest.raises(Exception, match="example|context|target"):
+            chat.read_digests(lines, wrong).collect()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=24)]) for i in range(700)]
