@@ -6,7 +6,9 @@ the two costs are the capacities from and to the terminals.  Neighbours in page
 order and neighbours under one parent are tied by smoothness edges, and the
 maximum flow from content to boilerplate splits the blocks at least total cost.
 
-Scripts, styles, comments and other markup never become blocks.  Character
+Scripts, styles, text areas, the head, comments and other markup never become
+blocks; a tag without an end never takes the rest of the page with it, but for
+scripts, styles and text areas.  Character
 references are decoded, white space inside a block becomes one blank, blocks
 are joined in page order by one blank.  Null and empty pages, and pages without
 content, give an empty text.  Repeated rows are kept; nothing is cut off.
@@ -31,7 +33,11 @@ _TAG = re.compile(
 )
 _LABEL = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "head", "select", "button", "textarea"}
+#: Elements whose inside is no markup and no text of the page; a head ends at its end or where the body begins.
+RAW = {"script", "style", "textarea"}
+#: Elements that a page shows nothing of; one without an end of its own is read as any other element.
+INERT = {"iframe", "template"}
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.IGNORECASE)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog",
@@ -41,7 +47,9 @@ BLOCK = {
 }
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "body", "html"}
 #: Elements that are boilerplate wherever they stand, and those that are only outside an article.
-BOILER, OUTER = {"nav", "footer", "aside", "form", "menu", "dialog"}, {"header"}
+BOILER, OUTER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select"}, {"header"}
+#: Controls stand inside a line: they make blocks of their own.
+CONTROL, IN_CONTROL = ("button", "select"), {"option", "br", "hr"}
 MAIN = {"article", "main"}
 BOILER_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
@@ -114,16 +122,27 @@ def blocks(page: str) -> list[Block]:
         name = (tag[2] or "").lower()
         if not name:
             continue
+        if name == "head" and not tag[1]:
+            end = _HEAD_END.search(page, at)
+            if end:
+                at = end.end() if end[0][1] == "/" else end.start()
+            continue  # without either, what follows is read as any other part
         if name in RAW and not tag[1] and not tag[3].rstrip().endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            if end is None and name == "head":
-                continue  # an unclosed head ends where the body begins
             at = end.end() if end else len(page)
-            if name in BLOCK:
-                flush()
             continue
-        if name in BLOCK:
+        if name in INERT and not tag[1]:
+            end = re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE).search(page, at)
+            if end and end[1]:
+                at = end.end()
+                continue
+        if name in BLOCK or name in CONTROL:
             flush()
+        if name in BLOCK and name not in IN_CONTROL:
+            # A control that was never closed ends where the next block begins or ends.
+            for control in CONTROL:
+                if any(x[0] == control for x in stack):
+                    close(control)
         if tag[1]:
             close(name)
         elif name not in VOID:

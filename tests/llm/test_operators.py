@@ -210,6 +210,27 @@ def test_html():
     assert html_extract.main_text(f"<article><p>{body}</article>") == body.strip()
 
 
+LEAD = "A first paragraph of the article that has enough words to count as text."
+TAIL = "A second paragraph of the article that has enough words to count as text."
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "noscript", "svg", "math", "iframe", "template"])
+def test_html_elements_without_an_end_do_not_cut_the_page(tag):
+    for page in (
+        f"<body><{tag}><article><p>{LEAD}</p><p>{TAIL}</p></article></body>",
+        f"<body><article><p>{LEAD}</p><{tag}><p>{TAIL}</p></article></body>",
+    ):
+        assert html_extract.main_text(page) == f"{LEAD} {TAIL}"
+
+
+def test_html_keeps_the_text_of_formulas_and_fallbacks():
+    for tag in ("math", "object", "noscript"):
+        page = f"<article><p>{LEAD} <{tag}>x = 1</{tag}> holds.</p><p>{TAIL}</p></article>"
+        assert html_extract.main_text(page) == f"{LEAD} x = 1 holds. {TAIL}"
+    page = f"<head><title>t</title><body><article><p>{LEAD}</p><button>Buy now</button><iframe>No frames</iframe><p>{TAIL}</p></article>"
+    assert html_extract.main_text(page) == f"{LEAD} {TAIL}"
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(5)
     for _ in range(60):
