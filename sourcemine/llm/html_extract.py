@@ -31,7 +31,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.DOTALL,
 )
-_LABEL = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+_LABEL = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
 #: Elements whose inside is no markup and no text of the page; a head ends at its end or where the body begins.
 RAW = {"script", "style", "textarea"}
@@ -58,6 +58,9 @@ BOILER_WORDS = {
     "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Inside article or main such words count on these elements only, and not in an id:
+#: ids there are often made from headings.
+CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table"}
 MAIN_WORDS = {"article", "content", "entry", "main", "post", "story"}
 SMOOTH_NEXT, SMOOTH_PARENT, UNIT = 60, 40, 100
 
@@ -70,23 +73,33 @@ class Block:
     main: int
     heading: bool
     linked: int  # characters inside links
+    doubts: int = 0  # elements around it inside article or main whose words alone mark boilerplate
 
 
-def _marks(name: str, attributes: str, inside_main: bool) -> tuple[int, int]:
-    """Whether an element marks boilerplate and main text."""
+def _marks(name: str, attributes: str, inside_main: bool, inside_article: bool) -> tuple[int, int, int]:
+    """Whether an element marks boilerplate, main text, and doubtful text."""
     words: set[str] = set()
-    for value in _LABEL.findall(attributes) if "=" in attributes else ():
-        words.update(re.split(r"[^a-z]+", value.lower()))
-    boiler = name in BOILER or (name in OUTER and not inside_main) or bool(words & BOILER_WORDS)
+    telling: set[str] = set()
+    for kind, value in _LABEL.findall(attributes) if "=" in attributes else ():
+        some = re.split(r"[^a-z]+", value.lower())
+        words.update(some)
+        if not inside_article or (kind.lower() != "id" and name in CONTAINERS):
+            telling.update(some)
+    told = bool(telling & BOILER_WORDS)
+    boiler = name in BOILER or (name in OUTER and not inside_main)
+    doubt = told and inside_article and not boiler
+    boiler = boiler or (told and not inside_article)
     if name in ("body", "html", *MAIN):
-        boiler = False  # such words on the page itself say nothing about its parts
-    return int(boiler), int(name in MAIN or (not boiler and bool(words & MAIN_WORDS)))
+        boiler = doubt = False  # such words on the page itself say nothing about its parts
+    main = name in MAIN or (not boiler and not doubt and bool(words & MAIN_WORDS))
+    return int(boiler), int(main), int(doubt)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, number, boiler, main
+    # name, number, boiler, main, doubts, inside article or main
+    stack: list[tuple[str, int, int, int, int, bool]] = [("", 0, 0, 0, 0, False)]
     parts: list[str] = []
     linked = number = at = links = 0
     heading = False
@@ -95,8 +108,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, parent, boiler, main = stack[-1]
-            out.append(Block(text, parent, boiler, main, heading, min(linked, len(text))))
+            _, parent, boiler, main, doubts, _ = stack[-1]
+            out.append(Block(text, parent, boiler, main, heading, min(linked, len(text)), doubts))
         parts.clear()
         linked, heading = 0, False
 
@@ -151,9 +164,11 @@ def blocks(page: str) -> list[Block]:
             if name == "li" and stack[-1][0] == "li":
                 close("li")
             number += 1
-            _, _, boiler, main = stack[-1]
-            more = _marks(name, tag[3], main > 0)
-            stack.append((name, number, boiler + more[0], main + more[1]))
+            _, _, boiler, main, doubts, inside = stack[-1]
+            more = _marks(name, tag[3], main > 0, inside)
+            stack.append(
+                (name, number, boiler + more[0], main + more[1], doubts + more[2], inside or name in MAIN)
+            )
             links += name == "a"
         heading = heading or (not tag[1] and name in ("h1", "h2", "h3"))
     rest = page[at:]
@@ -171,7 +186,7 @@ def costs(block: Block) -> tuple[int, int]:
     words = block.text.count(" ") + 1
     score = -1.0 + 1.2 * min(words, 40) / 20 + 0.8 * (words >= 5 and block.text[-1] in ".!?:;\"'")
     score += 0.8 * block.heading - 3.0 * share
-    score += 6.0 * (block.main > 0) - 9.0 * (block.boiler > 0)
+    score += 6.0 * (block.main > 0) - (9.0 if block.boiler else 6.5 * (block.doubts > 0))
     return (round(UNIT * score), 0) if score > 0 else (0, round(-UNIT * score))
 
 
@@ -242,9 +257,10 @@ def content_side(keep: list[int], drop: list[int], edges: list[tuple[int, int, i
 def label(found: list[Block]) -> list[bool]:
     """True for the blocks of the main text."""
     unary = [costs(b) for b in found]
+    marked = [(b.boiler > 0, b.doubts > 0) for b in found]
     edges, last_under = [], {}
     for i, b in enumerate(found):
-        if i and bool(found[i - 1].boiler) == bool(b.boiler):
+        if i and marked[i - 1] == marked[i]:
             edges.append((i - 1, i, SMOOTH_NEXT))
         before = last_under.get(b.parent)
         if before is not None:

@@ -231,6 +231,21 @@ def test_html_keeps_the_text_of_formulas_and_fallbacks():
     assert html_extract.main_text(page) == f"{LEAD} {TAIL}"
 
 
+def test_html_words_in_an_article_do_not_drop_its_text():
+    for word in ("related-work", "search", "form-and-function", "social-history"):
+        page = f"<article><p>{LEAD}</p><section id='{word}'><h2>On it</h2><p>{TAIL}</p></section></article>"
+        assert html_extract.main_text(page) == f"{LEAD} On it {TAIL}"
+        page = f"<article><p>{LEAD}</p><h2 id='{word}' class='{word}'>On it</h2><p>{TAIL}</p></article>"
+        assert html_extract.main_text(page) == f"{LEAD} On it {TAIL}"
+    text = f"{TAIL} {LEAD} {TAIL}"
+    page = f"<article><p>{LEAD}</p><section class='related work'><h2>On it</h2><p>{text}</p></section></article>"
+    assert html_extract.main_text(page) == f"{LEAD} On it {text}"
+    for ad in ("<div class='share'>Share this</div>", "<ul class='related'><li><a href=/>Read this other page too</a></ul>"):
+        assert html_extract.main_text(f"<article><p>{LEAD}</p>{ad}<p>{TAIL}</p></article>") == f"{LEAD} {TAIL}"
+    outside = f"<div class='related'><p>{text}</p></div><article><p>{LEAD}</p></article>"
+    assert html_extract.main_text(outside) == LEAD
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(5)
     for _ in range(60):
