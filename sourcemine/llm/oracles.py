@@ -84,3 +84,29 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = v.label AS alike, v.r, v.vec_id,
+    CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) <= 5
+), n AS (
+  SELECT p.a, p.anchor_id, p.r, p.vec_id AS positive_id, p.score AS positive_score,
+    s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.r ORDER BY s.score DESC, s.vec_id, s.r) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.alike
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+"""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sourcemine.llm import (
     chat,
+    hard_negatives,
     html_extract,
     mixing,
+    neighbours,
     packing,
     quality,
     sharding,
@@ -140,3 +142,20 @@ def op8_chat_prefix_targets(spark, sf_dir):
 @query
 def op10_norm_sorted_top_k(spark, sf_dir):
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+@query
+def op11_quality_neighbours(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int"))
+    return neighbours.scored(docs, neighbours.fit(docs, labels)).select(
+        "doc_id", neighbours.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    schema = "vec_id bigint, embedding array<float>, label int"
+    rows = spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved), "vec_id % 100 = 0")
