@@ -110,3 +110,48 @@ WITH v AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM n WHERE rank <= 10
 """
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT lang, list_slice(words, i, i + size - 1) AS g
+  FROM (
+    SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+    FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(words) >= size
+  )
+), f AS (
+  SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100
+), c AS (
+  SELECT lang, g, f AS a FROM f WHERE len(g) > 1
+), cuts AS (
+  SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, totals.n,
+    (CAST(1000 AS HUGEINT) * c.a * totals.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k)
+  JOIN f AS y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))
+  JOIN totals ON totals.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT o.lang, c.g
+  FROM (
+    SELECT lang, a, list_slice(g, i, i + size - 1) AS g
+    FROM (SELECT *, unnest(range(1, len(g) - size + 2)) AS i
+      FROM (SELECT *, unnest(range(2, len(g))) AS size FROM c))
+  ) AS o JOIN c ON c.lang = o.lang AND c.g = o.g WHERE 100 * o.a >= 100 * c.a
+), kept AS (
+  SELECT *, array_to_string(g, ' ') AS phrase FROM best ANTI JOIN inside USING (lang, g)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sourcemine.llm import (
     chat,
+    collocations,
     hard_negatives,
     html_extract,
     mixing,
@@ -159,3 +160,8 @@ def op12_hard_negatives(spark, sf_dir):
     rows = spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mined(rows.withColumn("label", moved), "vec_id % 100 = 0")
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.mined(table(spark, sf_dir, "documents").select("text", "lang"))
