@@ -6,11 +6,17 @@ solved by multiplicative weights: a length's price is its share of a sequence
 times a weight that falls as the length is covered ahead of the rest, and a
 knapsack over the capacity finds the best configuration at those prices.  The
 fractional answer is rounded down, single bins follow by their fractions, and a
-best fit takes the pieces that are left, a bounded number.
-
-All of this sees only the histogram, whose size is bounded by the capacity, so
-the driver's share does not grow with the corpus.  The plan says for the k-th
-piece of a length where it goes, and Spark numbers the pieces of each length.
+best fit takes the pieces that are left.  The same prices, over the worth of the
+best configuration, bound the program from below (``Plan.at_least``); while
+the result is further than ``GAP`` above that bound, the program is solved again
+with prices that move faster.
+
+All of this sees only the histogram, whose size is bounded by the capacity, and
+works on counts of equal lengths, the best fit included: bins that look the same are
+one entry, and a length changes all of them but splits two at most.  So neither time
+nor memory of the driver, nor the plan it broadcasts, grow with the corpus.  The plan
+says for the k-th piece of a length where it goes, and Spark numbers the pieces of
+each length.
 
 A null or empty text is one piece that holds the end id alone.  Repeated rows
 are packed each.  An empty table gives no sequences.  Only documents longer than
@@ -36,10 +42,11 @@ from sourcemine.llm.common import numbered, stored_from_texts
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 1500
-RATE = 0.1  # how fast a price falls as a length is covered ahead of the rest
-HELD_BINS, HELD_SHARE = 2_000, 0.15  # what rounding leaves to the best fit at least
-BEST_FIT_BINS = 100_000  # and at most
-SLACK = 0.001  # room that a configuration may leave to be used in bulk
+RATES = (0.1, 1.0, 8.0)  # how fast a price falls as a length is covered ahead of the rest
+GAP = 0.002  # above the lower bound, relative, from which the next rate is tried
+# What rounding may leave to the best fit, which needs short pieces to fill up with.
+HELD_BINS, HELD_SHARES = 2_000, (0.0, 0.02, 0.15)
+FILLS = (0.999, 0.97, 0.9, 0.0)  # least fill of configurations that are used in bulk
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -90,6 +97,7 @@ class Plan:
     sequence: np.ndarray
     offset: np.ndarray
     n_sequences: int = 0
+    at_least: int = 0
 
     def place(self, length: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (self.length << 44) + self.base
@@ -124,24 +132,30 @@ def best_configuration(price: np.ndarray) -> np.ndarray:
     return np.array(found)
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, float]]:
-    """Configurations and how often each is used, by multiplicative weights."""
+def fractional(
+    histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATES[0]
+) -> tuple[list[tuple[Counter, float]], float]:
+    """Configurations and how often each is used, by multiplicative weights, and the
+    best lower bound that the prices of any round gave."""
     lengths = np.array(sorted(histogram))
     need = np.array([histogram[int(x)] for x in lengths], dtype=float)
     bins = float((lengths * need).sum() / capacity)
     covered = np.zeros(len(lengths))
     place = {int(x): i for i, x in enumerate(lengths)}
     used: dict[tuple[tuple[int, int], ...], float] = {}
-    done = 0.0
+    done = bound = 0.0
     for _ in range(rounds):
         if done >= bins or not (covered < 1).any():
             break
         lead = covered - done / bins
-        weight = np.where(covered < 1, np.exp(np.clip(-RATE * lead, -8, 8)), 0)
+        weight = np.where(covered < 1, np.exp(np.clip(-rate * lead, -8, 8)), 0)
         price = np.full(capacity + 1, -np.inf)
         open_ = weight > 0
         price[lengths[open_]] = lengths[open_] / capacity * weight[open_]
         found = Counter(best_configuration(price).tolist())
+        # At prices over the worth of the best configuration none is worth more than 1.
+        worth = sum(float(price[x]) * n for x, n in found.items())
+        bound = max(bound, float((price[lengths[open_]] * need[open_]).sum()) / worth)
         at = np.array([place[x] for x in found])
         times = np.array(list(found.values()), dtype=float)
         times = np.minimum(times, need[at])
@@ -152,13 +166,14 @@ def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -
         done += step
         key = tuple(sorted((x, int(t)) for x, t in zip(found, times)))
         used[key] = used.get(key, 0.0) + step
-    return [(Counter(dict(key)), x) for key, x in used.items()]
+    return [(Counter(dict(key)), x) for key, x in used.items()], bound
 
 
 def rounded(
-    parts: list[tuple[Counter, float]], histogram: dict[int, int], capacity: int
+    parts: list[tuple[Counter, float]], histogram: dict[int, int], capacity: int, fill: float, held: float
 ) -> tuple[Counter, dict[int, int]]:
-    """Whole numbers of full configurations, and the pieces they leave."""
+    """Whole numbers of configurations that are full to ``fill`` at least, and the
+    pieces they leave: ``held`` of the bins, ``HELD_BINS`` at most, and what is over."""
     left = dict(histogram)
     out: Counter = Counter()
 
@@ -169,11 +184,9 @@ def rounded(
                 left[x] -= n * times
             out[tuple(sorted(configuration.items()))] += times
 
-    # Some bins' worth of pieces stays for the best fit, which needs short ones
-    # to fill up with; configurations with more room are left to it as well.
-    parts = [p for p in parts if sum(n * k for n, k in p[0].items()) >= (1 - SLACK) * capacity]
+    parts = [p for p in parts if sum(n * k for n, k in p[0].items()) >= fill * capacity]
     total = sum(x for _, x in parts)
-    share = max(0.0, 1 - min(HELD_BINS, HELD_SHARE * total) / max(total, 1))
+    share = max(0.0, 1 - min(HELD_BINS, held * total) / max(total, 1))
     for configuration, x in sorted(parts, key=lambda p: -p[1]):
         use(configuration, int(x * share))
     for configuration, x in sorted(parts, key=lambda p: int(p[1]) - p[1]):
@@ -183,38 +196,77 @@ def rounded(
 
 
 def best_fit(left: dict[int, int], capacity: int) -> Counter:
-    """Configurations for pieces taken one by one, longest first, each into the
-    bin with the least room that holds it."""
-    rooms: list[tuple[int, int]] = []
-    bins: list[Counter] = []
+    """Configurations for pieces taken one by one, longest first, each into the bin
+    with the least room that holds it: worked for all pieces of a length at once.
+
+    A bin that takes a piece has the least room of those that hold one more, so it
+    takes as many as it can before the next bin does."""
+    bins: dict[int, Counter] = {}  # by room: what such bins hold, and how many they are
+    rooms: list[int] = []
+
+    def put(room: int, held: tuple, times: int) -> None:
+        if room not in bins:
+            bins[room] = Counter()
+            insort(rooms, room)
+        bins[room][held] += times
+
     for x in sorted(left, reverse=True):
-        for _ in range(left[x]):
-            at = bisect_left(rooms, (x, -1))
-            if at < len(rooms):
-                room, k = rooms.pop(at)
-            else:
-                room, k = capacity, len(bins)
-                bins.append(Counter())
-            bins[k][x] += 1
-            if room > x:
-                insort(rooms, (room - x, k))
-    return Counter(tuple(sorted(b.items())) for b in bins)
+        n = left[x]
+        changed = []
+        for room in rooms[bisect_left(rooms, x) :]:
+            each = room // x
+            for held in list(bins[room]):
+                for k in (each, n % each):  # the last bin may get fewer
+                    times = min(bins[room][held], n // k) if k else 0
+                    if times:
+                        bins[room][held] -= times
+                        n -= k * times
+                        changed.append((room - k * x, (*held, (x, k)), times))
+                    if n >= each:
+                        break
+                if not bins[room][held]:
+                    del bins[room][held]
+            if not bins[room]:
+                del bins[room]
+                rooms.remove(room)
+            if not n:
+                break
+        each = capacity // x
+        if n // each:
+            changed.append((capacity - each * x, ((x, each),), n // each))
+        if n % each:
+            changed.append((capacity - n % each * x, ((x, n % each),), 1))
+        for room, held, times in changed:
+            put(room, held, times)
+    out: Counter = Counter()
+    for of in bins.values():
+        for held, times in of.items():
+            out[tuple(sorted(held))] += times
+    return out
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """The plan for a histogram of lengths, 1 to ``capacity``."""
-    full = {x: n for x, n in histogram.items() if x == capacity}
+    full = histogram.get(capacity, 0)
     part = {x: n for x, n in histogram.items() if x < capacity}
-    used = Counter({((capacity, 1),): n for n in full.values()})
-    for _ in range(20):
-        # Once as a rule; again while more is left than the best fit should see.
-        if not part:
-            break
-        found, rest = rounded(fractional(part, capacity, rounds), part, capacity)
-        used, stuck, part = used + found, not found, rest
-        if stuck or sum(x * n for x, n in part.items()) <= BEST_FIT_BINS * capacity:
+    bound = float(sum(x * n for x, n in part.items()) / capacity)
+    best: tuple[int, int, Counter] | None = None
+    for rate in RATES if part else ():
+        parts, priced = fractional(part, capacity, rounds, rate)
+        bound = max(bound, priced)
+        for fill in FILLS:
+            for held in HELD_SHARES:
+                found, rest = rounded(parts, part, capacity, fill, held)
+                whole = found + best_fit(rest, capacity)
+                # Fewest sequences, then most of them by configurations.
+                result = (sum(whole.values()), -sum(found.values()))
+                if best is None or result < best[:2]:
+                    best = (*result, whole)
+        if best[0] <= np.ceil(bound - 1e-6) * (1 + GAP):
             break
-    used += best_fit(part, capacity)
+    used = best[2] if best else Counter()
+    if full:
+        used[((capacity, 1),)] += full
     taken: Counter = Counter()
     rows: list[tuple[int, int, int, int, int]] = []
     sequence = 0
@@ -226,15 +278,21 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             offset += each * x
         sequence += times
     columns = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5).T
-    return Plan(*columns, n_sequences=sequence)
+    return Plan(*columns, n_sequences=sequence, at_least=full + int(np.ceil(bound - 1e-6)))
 
 
 def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces."""
+    return planned(rows, capacity)[0]
+
+
+def planned(rows: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
+    """The packed pieces, and the plan with its number of sequences and lower bound."""
     spark = rows.sparkSession
     rows = stored_from_texts(rows.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     histogram = rows.groupBy("length").count().collect()  # at most `capacity` rows
-    plan = spark.sparkContext.broadcast(solve({r["length"]: r["count"] for r in histogram}, capacity))
+    plan = solve({r["length"]: r["count"] for r in histogram}, capacity)
+    shared = spark.sparkContext.broadcast(plan)
     slots = numbered(
         rows, [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("_piece")], "slots", ["length"], "slot"
     ).drop("_piece")
@@ -244,12 +302,12 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, slot = (batch.column(c).to_numpy() for c in ("length", "slot"))
-            found = [pa.array(x) for x in plan.value.place(length, slot)]
+            found = [pa.array(x) for x in shared.value.place(length, slot)]
             names = [name for name, _ in kinds]
             kept = [batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays([*kept, *found], [*names, "sequence_id", "offset"])
 
-    return slots.mapInArrow(place, schema)
+    return slots.mapInArrow(place, schema), plan
 
 
 def sequences(rows: DataFrame) -> DataFrame:

@@ -69,7 +69,8 @@ def op3_quality_ledger(spark, sf_dir):
 @query
 def op4_best_fit_packing(spark, sf_dir):
     rows = packing.pieces(table(spark, sf_dir, "documents"))
-    return packing.packed(rows)
+    placed, plan = packing.planned(rows)
+    return placed.withColumn("sequences_at_least", F.lit(plan.at_least).cast("long"))
 
 
 @query
