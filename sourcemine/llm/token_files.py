@@ -13,15 +13,18 @@ zstandard tool decompresses a file as one stream; ``TokenFile`` reads the last
 bytes first and then only the frames it is asked for.
 
 Documents are dealt out by ranges of ``doc_id`` (null first), equal ids by a
-hash of the text, so file order is id order and no id is too large for a task.
+hash of the text and a number of the row, so file order is id order, and neither
+an id nor a row that repeats is too large for a task.
 A file is written under a name of the attempt and moved to its own, so a task
 that runs again replaces its file by the same bytes.  Files go through Arrow's
-file systems to any shared folder.  Null counts as empty text: the end id alone.
+file systems to any shared folder; one without a scheme is on Spark's default file
+system, like the tables.  Null counts as empty text: the end id alone.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,7 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,7 +51,14 @@ def file_system(uri: str):
     """Arrow's file system for a folder, and the folder's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{os.path.abspath(uri)}")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", uri) else uri
 
 
 def write_file(out, documents: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
@@ -122,6 +132,7 @@ class TokenFile:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = tokens.WORD, end_id: int = END_ID) -> DataFrame:
     """Write ``doc_id, text`` to files; the manifest, stored: ``part`` (order of
     the files), ``file``, ``n_documents``, ``n_ids``."""
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary, tokens.FEWER_CHUNKS)
@@ -141,14 +152,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = tokens.WORD, en
         columns = [[part], [os.path.basename(name)], [n_documents], [n_ids]]
         yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["part", "file", "n_documents", "n_ids"])
 
-    key = [F.col("doc_id"), F.xxhash64("text"), F.length("text")]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(*key).sortWithinPartitions(*key)
+    key = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]
+    row = F.monotonically_increasing_id().alias("row")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    ordered = ordered.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
     return stored(ordered.mapInArrow(write, "part bigint, file string, n_documents bigint, n_ids bigint"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
+    folder = qualified(manifest.sparkSession, folder)
     # One row a file: what lies before it in the order of files.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))

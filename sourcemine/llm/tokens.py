@@ -5,7 +5,8 @@ white space, the other joins a single leading blank to the word behind it.  So
 the ids of a text are the ids of its chunks one after the other, and a chunk
 that was met before need not be encoded again.  A plain word goes straight to
 the library's BPE model, any other chunk through the whole tokenizer, and a
-text with characters outside the plain ranges goes there uncut.
+text with characters outside the plain ranges or with a control string of the
+vocabulary, which the library takes as one token, goes there uncut.
 """
 
 from __future__ import annotations
@@ -64,8 +65,9 @@ class _Chunks(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    Control strings of the vocabulary inside a text are ordinary text.  Null
-    counts as empty, and an empty text has no ids.
+    The ids are those of ``encode(text, add_special_tokens=False)``, so a control
+    string of the vocabulary inside a text is that control token.  Null counts as
+    empty, and an empty text has no ids.
     """
 
     def __init__(self, name: str, cached_chunks: int = CACHED_CHUNKS):
@@ -73,7 +75,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.control = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         base = os.path.basename(name)
         self.by_words, self.cached = base == WORD, base in (WORD, BYTE)
         self.model = self.tokenizer.model
@@ -109,7 +111,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cached or _OTHER.search(text):
+        if not self.cached or _OTHER.search(text) or any(string in text for string in self.control):
             return self.library(text)
         return b"".join(map(self.known.__getitem__, self._split(text)))
 
