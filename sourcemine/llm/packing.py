@@ -318,3 +318,13 @@ def sequences(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sequence_id").agg(ordered.alias("parts")).select(
         "sequence_id", whole.alias("ids"), F.expr("transform(parts, p -> struct(p.doc_id, p.piece, p.offset))").alias("members")
     )
+
+
+def sequences_of(docs: DataFrame, vocabulary: str = tokens.BYTE, capacity: int = CAPACITY) -> DataFrame:
+    """The packed sequences of all texts: ``sequence_id, ids`` (little-endian unsigned
+    32-bit numbers) and ``members`` (``doc_id, piece, offset``), in which a document that
+    is there twice stands twice.  Ids meet their places last, so they are not sorted."""
+    whole = pieces(docs, vocabulary, capacity, with_ids=True)
+    whole = stored_from_texts(whole.withColumn("at", F.monotonically_increasing_id()), "whole-pieces")
+    placed = packed(whole.drop("ids"), capacity).select("at", "sequence_id", "offset")
+    return sequences(whole.select("at", "doc_id", "piece", "ids").join(placed, "at"))
