@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sourcemine.llm import mixing, packing, quality, simhash, toxicity
+from sourcemine.llm import mixing, near_copies, packing, quality, toxicity
 from sourcemine.llm.common import stored
 from sourcemine.llm.queries import table
 from sourcemine.packaging import ship_package
@@ -14,20 +15,26 @@ from sourcemine.packaging import ship_package
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside their text, so that no column that a stage adds
+    takes the place of one that came in."""
+    return docs.select(F.struct("*").alias("doc"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, network).where("predicted = 0").select(*docs.columns)
+    return toxicity.scored(_beside(docs), network).where("predicted = 0").select("doc.*")
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return quality.ledger(docs).where(quality.kept()).select(*docs.columns)
+    return quality.ledger(_beside(docs)).where(quality.kept()).select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a sequence: its ids and the documents that they come from."""
     ship_package(spark)
-    return packing.packed(packing.pieces(docs))
+    return packing.sequences_of(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
