@@ -7,7 +7,8 @@ at ``[.,;:!?\\x0A-\\x0D]`` into pieces and pieces into words ``[^\\x20\\x09]+``.
    they come, and the text as these numbers, 0 between pieces.  Spark sums the counts
    of words over chunks; words with ``least`` occurrences get a global number, which a
    join on ``(lang, word)`` and one on the chunk bring back into the texts.  No
-   dictionary is broadcast.  All other words become breaks: no candidate holds one.
+   dictionary is broadcast, only a Bloom filter of bounded size that leaves rare words
+   out of the join.  They become breaks: no candidate holds one.
 2. **Grams**, one length after the other.  The numbers of a gram, ``bits`` wide each,
    are packed, and the packed number goes through an invertible permutation.  Its high
    bits are the quotient, all others the remainder, so a filter loses nothing: it holds
@@ -132,22 +133,40 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return stored_from_texts(found.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
-def frequent_words(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``id, lang, word, f`` of frequent words, and ``chunk, local, id`` where they are."""
-    pairs = F.posexplode(F.arrays_zip("words", "counts")).alias("at", "pair")
-    met = chunks.select("chunk", "lang", pairs).select(
-        "chunk",
-        "lang",
-        (F.col("at") + 1).alias("local"),
-        F.col("pair.words").alias("word"),
-        F.col("pair.counts").alias("n"),
-    )
+def frequent_words(chunks: DataFrame, least: int) -> DataFrame:
+    """``id, lang, word, f`` of frequent words; numbers begin at 1."""
+    pairs = F.explode(F.arrays_zip("words", "counts")).alias("pair")
+    met = chunks.select("lang", pairs).select("lang", F.col("pair.words").alias("word"), F.col("pair.counts").alias("n"))
     totals = met.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = stored(numbered(totals, [F.col("lang"), F.col("word")], "words", name="id"), "numbered-words")
-    words = words.withColumn("id", F.col("id") + 1)
-    return words, met.select("chunk", "lang", "local", "word").join(
-        words.select("lang", "word", "id"), ["lang", "word"]
-    ).select("chunk", "local", "id")
+    return words.withColumn("id", F.col("id") + 1)
+
+
+def places_of(chunks: DataFrame, words: DataFrame, count: int) -> DataFrame:
+    """``chunk, local, id``: where the frequent words stand in their chunks.
+
+    Most words of a chunk are rare.  A Bloom filter of the frequent ones, at most
+    ``BLOOM_BITS`` bits, leaves them out before the join; the join is exact."""
+    import xxhash
+
+    seed = 42  # of Spark's function of the same name
+    bloom = bloom_of(words.select(F.xxhash64("word").alias("hash")), count)
+    shared = chunks.sparkSession.sparkContext.broadcast(bloom)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            for chunk, lang, own in zip(batch.column(0), batch.column(1), batch.column(2)):
+                own = own.values
+                hashes = np.fromiter((digest(w, seed) for w in own.to_pylist()), _U, len(own))
+                at = np.flatnonzero(shared.value.may_hold(hashes))
+                n = len(at)
+                columns = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array([lang.as_py()] * n, pa.string())]
+                columns += [pa.array(at + 1, pa.int64()), own.take(pa.array(at))]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "local", "word"])
+
+    found = chunks.select("chunk", "lang", "words").mapInArrow(met, "chunk bigint, lang string, local bigint, word binary")
+    return found.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
 
 
 def encoded(chunks: DataFrame, places: DataFrame) -> DataFrame:
@@ -476,7 +495,7 @@ def mined(
     """Phrases of 2 to ``longest`` words that ``docs`` (``text, lang``) hold ``least``
     times or more: ``lang, rank, phrase, a, l, r, n, score``.  See the head of the module."""
     chunks = chunks_of(docs)
-    words, places = frequent_words(chunks, least)
+    words = frequent_words(chunks, least)
     totals = chunks.groupBy("lang").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")
     )
@@ -489,7 +508,7 @@ def mined(
     counts = words.select(raw_id.alias("gram"), "f")
     levels = []
     if last:
-        ids = encoded(chunks, places)
+        ids = encoded(chunks, places_of(chunks, words, last))
         bloom = None
         for n in range(2, longest + 1):
             level = counted(ids, Shape(n, max(1, last.bit_length())), facts["f"], least, bloom)
