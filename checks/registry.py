@@ -226,8 +226,8 @@ def fn_last_in_file(spark, sf_dir):
 
 @query
 def candidate_dedup(spark, sf_dir):
-    last = units.last_units(all_units(spark, sf_dir))
-    return cand.function_candidates(last).select("name", "path", "line", "code")
+    found = cand.late_function_candidates(stored_units(spark, sf_dir))
+    return found.select("name", "path", "line", "code")
 
 
 @query

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourcemine.operators.key_filter import without_keys
+from sourcemine.storage import materialize
+
 COLUMNS = ("repo", "name", "kind", "path", "line", "method", "class_code", "code")
 
 
@@ -32,6 +35,27 @@ def function_candidates(units: DataFrame) -> DataFrame:
     )
 
 
+def late_function_candidates(units: DataFrame) -> DataFrame:
+    """The same over materialized ``units``: keys decide, and the texts of those that
+    lose are filtered out where they lie.  A text is neither aggregated nor sorted."""
+    functions = units.filter(F.col("kind") == "function")
+    keys = functions.select("repo", "path", "name")
+    last = keys.groupBy("repo", "name").agg(F.max("path").alias("last"))
+    same = [F.col(f"k.{key}").eqNullSafe(F.col(f"l.{key}")) for key in ("repo", "name")]
+    decided = keys.alias("k").join(last.alias("l"), same).select("k.*", (F.col("path") != F.col("last")).alias("drop"))
+    kept = without_keys(functions, materialize(decided, "decided-functions"), ["repo", "path", "name"])
+    return kept.select(
+        "repo",
+        "name",
+        "kind",
+        "path",
+        "line",
+        F.lit(None).cast("string").alias("method"),
+        F.lit(None).cast("string").alias("class_code"),
+        "code",
+    )
+
+
 def method_winners(units: DataFrame) -> DataFrame:
     """Keys only: which class of which file supplies each ``Class.method``."""
     keys = (
@@ -48,16 +72,16 @@ def method_winners(units: DataFrame) -> DataFrame:
     )
 
 
-def method_candidates(units: DataFrame) -> DataFrame:
-    """Two passes over a materialized ``units``: keys decide, then texts are fetched.
+def wanted_classes(units: DataFrame) -> DataFrame:
+    """Classes that supply a method, one row each: ``repo, path, class_line, class_code,
+    method_code`` and ``wanted``, their methods (``name, line, pos``) among the candidates.
 
-    A class text belongs to every method of the class.  Deduplicating rows that
-    carry it would shuffle it once per method; here it moves once per class.
-    The keys are the small side of that join; each ``(repo, path, class_line)`` is
-    one class, so only a class of very many methods makes a hot key, which
-    adaptive execution may split.
-    """
-    winners = method_winners(units)
+    However many methods a class supplies, its text moves once."""
+    wanted = (
+        method_winners(units)
+        .groupBy("repo", "path", "class_line")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "name", "line"))).alias("wanted"))
+    )
     classes = units.filter(F.col("kind") == "class").select(
         "repo",
         "path",
@@ -65,15 +89,29 @@ def method_candidates(units: DataFrame) -> DataFrame:
         F.col("code").alias("class_code"),
         "method_code",
     )
-    return classes.join(winners, ["repo", "path", "class_line"]).select(
-        "repo",
-        "name",
-        F.lit("method").alias("kind"),
-        "path",
-        "line",
-        F.substring_index("name", ".", -1).alias("method"),
-        "class_code",
-        F.get("method_code", F.col("pos")).alias("code"),
+    return classes.join(wanted, ["repo", "path", "class_line"])
+
+
+def method_candidates(units: DataFrame) -> DataFrame:
+    """Two passes over a materialized ``units``: keys decide, then texts are fetched.
+
+    A class text belongs to every method of the class.  Deduplicating rows that
+    carry it would shuffle it once per method; here it moves once per class and
+    meets its methods behind the last shuffle.
+    """
+    return (
+        wanted_classes(units)
+        .select("*", F.explode("wanted").alias("one"))
+        .select(
+            "repo",
+            F.col("one.name").alias("name"),
+            F.lit("method").alias("kind"),
+            "path",
+            F.col("one.line").alias("line"),
+            F.substring_index("one.name", ".", -1).alias("method"),
+            "class_code",
+            F.get("method_code", F.col("one.pos")).alias("code"),
+        )
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sourcemine import fixed_values as fixed
 from sourcemine.functions import text as text_rules
+from sourcemine.operators.key_filter import without_keys
 from sourcemine.storage import materialize
 
 
@@ -49,23 +50,28 @@ def environment_roots(listing: DataFrame, scan_root: str | None = None) -> DataF
     return roots if scan_root is None else roots.filter(F.col("dir") != scan_root.rstrip("/"))
 
 
-def prune_environments(files: DataFrame, roots: DataFrame) -> DataFrame:
+def prune_environments(files: DataFrame, roots: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Drop every file below an environment.
 
-    Ancestors are taken of distinct directories, not of files.  The roots and
-    the pruned directories are written first, so the planner knows their true
-    sizes: each is broadcast when small.  Otherwise adaptive execution splits
-    the partition of a directory that is above, or around, very many others.
+    Ancestors are taken of distinct directories, not of files, and directories are
+    decided on paths alone.  The roots are written first, so the planner knows their
+    size and broadcasts them when small; otherwise adaptive execution splits the
+    partition of a directory that is above, or around, very many others.  The files
+    themselves only pass a filter: their texts are not moved (``without_keys``).
+    ``paths`` may hold the paths of ``files`` where those are cheaper to read.
     """
     keys = _tree_key(files)
-    known = materialize(roots, "environment-roots")
+    known = materialize(roots, "environment-roots").withColumnRenamed("dir", "above")
     located = files.withColumn("dir", text_rules.parent_dir(F.col("path")))
+    named = files if paths is None else paths
+    directories = named.select(*keys, text_rules.parent_dir(F.col("path")).alias("dir")).distinct()
+    directories = materialize(directories, "directories")
     pruned = (
-        located.select(*keys, "dir")
-        .distinct()
-        .withColumn("above", F.explode(text_rules.ancestor_dirs(F.col("dir"))))
-        .join(known.withColumnRenamed("dir", "above"), [*keys, "above"], "left_semi")
+        directories.withColumn("above", F.explode(text_rules.ancestor_dirs(F.col("dir"))))
+        .join(known, [*keys, "above"], "left_semi")
         .select(*keys, "dir")
         .distinct()
+        .withColumn("drop", F.lit(True))
     )
-    return located.join(materialize(pruned, "pruned-dirs"), [*keys, "dir"], "left_anti")
+    decided = directories.join(pruned, [*keys, "dir"], "left").withColumn("drop", F.coalesce("drop", F.lit(False)))
+    return without_keys(located, materialize(decided, "decided-dirs"), [*keys, "dir"])

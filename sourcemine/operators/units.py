@@ -7,7 +7,7 @@ shuffles but the one-row totals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,7 +97,12 @@ def discovery_summary(units: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.agg(*[F.sum(name).alias(name) for name in names])
 
 
+def target_count() -> Column:
+    """Functions and methods that a unit brings into the run, before names meet."""
+    found = F.when(F.col("kind") == "function", F.lit(1)).otherwise(F.size("methods"))
+    return F.when(F.col("is_last"), found).otherwise(0)
+
+
 def count_targets(units: DataFrame) -> int:
     """Functions and methods in a table of units, from its key columns alone."""
-    targets = F.when(F.col("kind") == "function", F.lit(1)).otherwise(F.size("methods"))
-    return units.agg(F.coalesce(F.sum(targets), F.lit(0))).first()[0]
+    return units.agg(F.coalesce(F.sum(target_count()), F.lit(0))).first()[0]

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemine import fixed_values as fixed
@@ -22,11 +22,21 @@ from sourcemine.operators.completion import (
     with_request_sha,
 )
 from sourcemine.operators.prompts import docs_text, lookup_template, render_prompts
-from sourcemine.operators.units import count_targets, discovery_summary
-from sourcemine.plans.discovery import parsed_units, retrieve_candidates, scored_units, source_files as scanned
+from sourcemine.operators.units import target_count
+from sourcemine.plans.discovery import (
+    candidate_texts,
+    candidates_of,
+    parsed_units,
+    scored_units,
+    tree_files,
+)
+from sourcemine.plans.discovery import source_files as scanned
 from sourcemine.sinks.tables import append_failures, export_files
 from sourcemine.storage import materialize, text_batches, write_table
 
+TOTALS = ("files_scanned", "files_failed", "functions_found", "methods_found", "candidates", "harnesses", "failures")
+METHODS_PER_ROW = 32  # that a class text travels with to the tasks that call
+
 
 @dataclass(frozen=True)
 class RunResult:
@@ -50,19 +60,44 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _write_candidates(candidates: DataFrame, path: str, waves: int) -> DataFrame:
-    """Candidates in one folder per wave; a name belongs to a wave by its hash."""
-    wave = F.pmod(F.xxhash64("repo", "name"), F.lit(waves)).cast("int")
-    waved = candidates.withColumn("wave", wave)
+def _write_texts(units: DataFrame, path: str, waves: int) -> DataFrame:
+    """Texts of candidates in one folder per wave; a name belongs to a wave by its hash."""
+    texts = candidate_texts(units, waves)
     if waves > 1:
         # Full files per folder: tasks are regrouped by wave, large waves split.
-        waved = waved.hint("rebalance", "wave")
-    waved.write.mode("overwrite").partitionBy("wave").parquet(path)
-    return candidates.sparkSession.read.schema(waved.schema).parquet(path)
+        texts = texts.hint("rebalance", "wave")
+    texts.write.mode("overwrite").partitionBy("wave").parquet(path)
+    return units.sparkSession.read.schema(texts.schema).parquet(path)
+
+
+def _only(texts: DataFrame, missing: DataFrame) -> DataFrame:
+    """The texts of some candidates: a text meets all of its missing ones at once."""
+    keys = ["repo", "path", "kind", "line", "wave"]
+    wanted = missing.groupBy("repo", "path", "kind", F.col("text_line").alias("line"), "wave").agg(
+        F.collect_set("name").alias("names")
+    )
+    known = texts.join(wanted, keys)
+    return known.withColumn("wanted", F.expr("filter(wanted, one -> array_contains(names, one.name))")).drop("names")
+
+
+def _dealt(texts: DataFrame, workers: int) -> DataFrame:
+    """Texts over the tasks that call, a class of many methods in slices of them."""
+    starts = F.sequence(F.lit(0), F.size("wanted") - 1, F.lit(METHODS_PER_ROW))
+    slices = F.transform(starts, lambda at: F.slice("wanted", at + 1, METHODS_PER_ROW))
+    cut = texts.withColumn("wanted", F.explode(slices))
+    return cut.repartition(workers, "repo", F.col("wanted")[0]["name"])
 
 
 def _complete_missing(
-    candidates: DataFrame, path: str, calls_per_job: int, workers: int, texts: dict, settings: dict, **options
+    texts: DataFrame,
+    candidates: DataFrame,
+    count: int,
+    path: str,
+    calls_per_job: int,
+    workers: int,
+    prompt: dict,
+    settings: dict,
+    **options,
 ) -> tuple[DataFrame, int]:
     """Answers to all candidates and the number of this attempt.
 
@@ -85,14 +120,15 @@ def _complete_missing(
         attempt += earlier.agg(F.max("attempt")).first()[0] or 0
         known = earlier.filter("error IS NULL").select(*keys).distinct()
         # What is missing is found once and stored by wave, not once a job.
-        missing = requests.join(known, keys, "left_anti").drop("request_sha")
-        candidates = materialize(missing, "missing", by="wave")
-    jobs = max(1, -(-candidates.count() // calls_per_job))
+        missing = materialize(requests.join(known, keys, "left_anti"), "missing")
+        count = missing.count()
+        texts = materialize(_only(texts, missing), "missing-texts", by="wave")
+    jobs = max(1, -(-count // calls_per_job))
     for job in range(jobs):
-        asked = candidates.filter(F.col("wave") % jobs == job)
-        prompts = render_prompts(asked.repartition(workers, "repo", "name"), **texts)
+        asked = candidates_of(_dealt(texts.filter(F.col("wave") % jobs == job), workers))
         with text_batches(spark):
-            complete(prompts, attempt=attempt, **options).write.mode("append").parquet(path)
+            answers = complete(render_prompts(asked, **prompt), attempt=attempt, **options)
+            answers.write.mode("append").parquet(path)
     answers = spark.read.schema(schemas.COMPLETIONS).parquet(path)
     # One row a request: its answer, or the failure of this attempt.  Answers to
     # requests that have changed since do not count.
@@ -100,9 +136,15 @@ def _complete_missing(
     return answers.join(requests.select(*keys), keys, "left_semi"), attempt
 
 
+def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """Counts that are taken while the table is written, without a scan of their own."""
+    seen = Observation()
+    return df.observe(seen, *[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in counts.items()]), seen
+
+
 def run(
     spark: SparkSession,
-    source_files: DataFrame,
+    source_files: DataFrame | str,
     templates: DataFrame,
     docs: DataFrame,
     docs_block: str,
@@ -122,7 +164,8 @@ def run(
 ) -> RunResult:
     """Everything below ``output/<table>/job=<job>``; the same job can be run again.
 
-    ``source_files`` has ``repo, path, content`` and optionally ``error``; a path
+    ``source_files`` is a folder that all executors share, whose sources are opened once,
+    or a table that has ``repo, path, content`` and optionally ``error``; a path
     is there once per ``repo``.  The table may hold all files of a tree: only
     sources outside virtual environments count, and bytes are decoded.  An
     environment at ``scan_root`` itself is no reason to leave files out.  Each ``repo`` is one tree with its own names and
@@ -155,23 +198,36 @@ def run(
         )
         raise
     told = call_settings(model, settings["temperature"], params)
-    texts = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
+    prompt = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
 
-    units = write_table(parsed_units(scanned(source_files, scan_root), smell), place("units"), by="kind")
-    wanted = scored_units(units, smell)
+    files = tree_files(spark, source_files) if isinstance(source_files, str) else scanned(source_files, scan_root)
+    found, of_units = _observed(
+        parsed_units(files, smell),
+        files_scanned=F.count_if(F.col("pos") == 0),
+        files_failed=F.count_if(F.col("error").isNotNull()),
+        targets=F.sum(target_count()),
+    )
+    units = write_table(found, place("units"), by="kind")
     calls_per_job = workers * calls_per_task
-    waves = max(1, -(-count_targets(wanted) // calls_per_job))
-    candidates = _write_candidates(
-        with_prompt_sha(render_prompts(retrieve_candidates(wanted), **texts)).drop("prompt"),
-        place("candidates"),
-        waves,
+    # Before names meet and scores are applied, so at least as many as are needed.
+    waves = max(1, -(-of_units.get["targets"] // calls_per_job))
+    texts = _write_texts(scored_units(units, smell), place("texts"), waves)
+    keyed = with_prompt_sha(render_prompts(candidates_of(texts), **prompt)).drop("prompt", "code", "class_code")
+    keyed, of_candidates = _observed(
+        keyed,
+        functions_found=F.count_if(F.col("kind") == "function"),
+        methods_found=F.count_if(F.col("kind") == "method"),
+        candidates=F.count(F.lit(1)),
     )
+    candidates = write_table(keyed, place("candidates"))
     completions, attempt = _complete_missing(
+        texts,
         candidates,
+        of_candidates.get["candidates"],
         place("completions"),
         calls_per_job,
         workers,
-        texts,
+        prompt,
         told,
         client_factory=client_factory,
         temperature=settings["temperature"],
@@ -184,15 +240,18 @@ def run(
         "name",
         text_rules.first_choice(F.col("choices")).alias("response"),
     )
-    harnesses = write_table(outcomes.accepted(answers), place("harnesses"))
+    good, of_harnesses = _observed(outcomes.accepted(answers), harnesses=F.count(F.lit(1)))
+    harnesses = write_table(good, place("harnesses"))
     failed = outcomes.rejected(answers, at)
     if export:
         exported = write_table(export_files(harnesses, export), place("exports"))
         failed = failed.unionByName(outcomes.not_exported(exported, at))
+    failed, of_failures = _observed(failed, failures=F.count(F.lit(1)))
     failures = write_table(failed, f"{place('failures')}/attempt={attempt}")
+    counts = of_units.get | of_candidates.get | of_harnesses.get | of_failures.get
     # Which syntax counts as an error depends on the parser's version.
     totals = write_table(
-        discovery_summary(units, candidates).select(
+        spark.range(0, 1, 1, 1).select(
             at.alias("ts"),
             F.lit(prompt_id).alias("prompt_id"),
             F.lit(model).alias("model"),
@@ -200,10 +259,8 @@ def run(
             F.lit(smell).alias("smell"),
             F.lit(platform.python_version()).alias("python_version"),
             F.lit(attempt).alias("attempt"),
-            "*",
-            F.lit(harnesses.count()).alias("harnesses"),
-            F.lit(failures.count()).alias("failures"),
+            *[F.lit(counts[name]).cast("long").alias(name) for name in TOTALS],
         ),
-        place("runs"),
+        f"{place('runs')}/attempt={attempt}",
     )
     return RunResult(units, candidates, completions, harnesses, failures, totals)
