@@ -47,7 +47,7 @@ from sourcemine.storage import BATCH_SETTING, _settings
 
 LONGEST, LEAST, SHARE, SCALE, TOP = 5, 100, 100, 1000, 2000
 SLICE_BYTES = 1 << 20
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 2_000_000  # of all languages that a task has open
 FILTER_ENTRIES = 1 << 20  # of one task, before it sends them on
 SEGMENT_ENTRIES = 1 << 21  # expected at most in a segment, over all tasks
 BLOOM_BITS = 26
@@ -435,10 +435,10 @@ def counted(ids: DataFrame, shape: Shape, words: int, least: int, bloom: Bloom |
         columns = [grams_, pa.array(whole.counts[often]), pa.array(gram_hash(ids).view(np.int64))]
         yield pa.RecordBatch.from_arrays(columns, ["gram", "f", "hash"])
 
-    with _settings(spark, {BATCH_SETTING: CHUNKS_PER_ARROW_BATCH}):
-        filters = stored(ids.mapInArrow(count, "segment bigint, filter binary"), f"filters-{shape.n}")
+    filters = ids.mapInArrow(count, "segment bigint, filter binary")
     merged = filters.groupBy("segment").applyInArrow(merge, "gram binary, f bigint, hash bigint")
-    return stored(merged, f"grams-{shape.n}")
+    with _settings(spark, {BATCH_SETTING: CHUNKS_PER_ARROW_BATCH}):
+        return stored(merged, f"grams-{shape.n}")
 
 
 # -- scores --------------------------------------------------------------------
