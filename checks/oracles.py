@@ -195,6 +195,11 @@ from listing l where ends_with(path, '.py') and not ({fx.TREE_BROKEN})
         "fn_units": base + "select path, name, line, code from raw_units where kind = 'function'",
         "method_units": base
         + "select path, class_name, class_line, concat(class_name, '.', method) as name, line, code from raw_methods",
+        "sql_units": base
+        + """select path, 'function' as kind, cast(null as varchar) as class_name, name, line, code
+from raw_units where kind = 'function'
+union all
+select path, 'method', class_name, concat(class_name, '.', method), line, code from raw_methods""",
         "class_methods": base
         + "select path, class_name, class_line, pos, method, line from raw_methods",
         "parse_errors": f"select {fx.PATH} as path, 'SyntaxError' as error_type from part where p_partkey % {variants} = 5",
@@ -285,6 +290,13 @@ from (select {answer_run} as run_id, name, case when coalesce(response, '') = ''
         "harness_rerun_outcomes": base
         + f"""select {_format(fixed.RUN_LABEL_FORMAT, source="'repo'", model="'second.one'", time="'01-02-24_03-04-05pm'")} as run_id,
   name, concat('# second/one ', {digest}, chr(10)) as code from prompts""",
+        "runs_table": base
+        + f"""select {_format(fixed.RUN_LABEL_FORMAT, source="'repo'", model="'a.b'", time="'01-02-24_03-04-05pm'")} as run_id,
+  name, concat('# a/b ', {digest}, chr(10)) as code, 0 as failed from prompts
+union all
+select {_format(fixed.RUN_LABEL_FORMAT, source="'repo'", model="'a.b'", time="'01-03-24_03-04-05pm'")} as run_id,
+  name, case when left({digest}, 1) in ('0', '1', '2', '3') then '' else concat('# ', {digest}, chr(10)) end as code,
+  case when left({digest}, 1) in ('0', '1', '2', '3') then 1 else 0 end as failed from prompts""",
         "run_totals": base
         + f"""select (select count(*) from part) as files_scanned,
   (select count(*) from part where p_partkey % {variants} = 5) as files_failed,

@@ -15,6 +15,7 @@ from sourcemine.operators import candidates as cand
 from sourcemine.operators import environments, outcomes, prompts, units
 from sourcemine.operators.completion import complete, offline_client, shaky_client, steady_client
 from sourcemine.operators.parse import parse_files
+from sourcemine.functions.table import register_python_units
 from sourcemine.plans import discovery, harness_run
 from sourcemine.sources.files import decode
 from sourcemine.storage import materialize, new_scratch_path, spread
@@ -473,6 +474,40 @@ def harness_rerun_outcomes(spark, sf_dir):
     return result.harnesses.select("run_id", "name", "code")
 
 
+@query
+def runs_table(spark, sf_dir):
+    """The table of all runs after two jobs and a second attempt at the first, which
+    asks another model that answers everything."""
+    output = new_scratch_path(spark, "runs")
+    late = datetime(2024, 1, 3, 15, 4, 5)
+    for job, model, client, ts in (
+        ("one", "a/b", offline_client, None),
+        ("two", "a/b", offline_client, late),
+        ("one", "a/b", steady_client, None),
+    ):
+        options = {"ts": ts} if ts else {}
+        whole_run(
+            spark, sf_dir, output=output, job=job, model=model, client_factory=client, calls_in_flight=4, **options,
+            params={"client": client.__name__},
+        )
+    return spark.read.parquet(f"{output}/outcomes").select(
+        "run_id", "name", F.coalesce("code", F.lit("")).alias("code"), F.col("error_msg").isNotNull().cast("int").alias("failed")
+    )
+
+
+@query
+def sql_units(spark, sf_dir):
+    """Functions and methods of files by a table function, in SQL alone."""
+    register_python_units(spark)
+    source_files(spark, sf_dir).createOrReplaceTempView("sourcemine_files")
+    return spark.sql(
+        """
+        SELECT path, kind, class_name, name, line, code
+        FROM sourcemine_files f, LATERAL python_units(f.content) u
+        """
+    )
+
+
 @query
 def run_totals(spark, sf_dir):
     names = ["files_scanned", "files_failed", "functions_found", "methods_found", "candidates", "harnesses", "failures"]

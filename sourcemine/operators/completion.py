@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator, Mapping
-from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ Client = Callable[..., "list[str | None]"]
 ClientFactory = Callable[[], Client]
 
 FLUSH_ROWS = 64
+TIMED_OUT = "TimeoutError"
 
 
 def _checked(texts: list[str | None]) -> list[str | None]:
@@ -30,7 +34,43 @@ def _checked(texts: list[str | None]) -> list[str | None]:
     return texts
 
 
-def _complete_batches(factory: ClientFactory, settings: dict, calls_in_flight: int):
+def _finished(
+    rows: Iterator[dict], answered: Callable[[dict], dict], calls_in_flight: int, time_limit: float | None
+) -> Iterator[dict]:
+    """Rows with their answers as calls finish; a window of calls is under way.
+
+    Each call has a thread of its own that nobody waits for: one that does not come
+    back in ``time_limit`` seconds is given up, its row fails alone, and the next call
+    takes its place in the window.  What it answers later is not looked at.
+    """
+    done: queue.SimpleQueue = queue.SimpleQueue()
+    under_way: dict[int, tuple[dict, float]] = {}
+    started = 0
+    while True:
+        while len(under_way) < calls_in_flight and (row := next(rows, None)) is not None:
+            under_way[started] = row, time.monotonic() + (time_limit or math.inf)
+            call = lambda number=started, row=dict(row): done.put((number, answered(row)))
+            threading.Thread(target=call, daemon=True).start()
+            started += 1
+        if not under_way:
+            return
+        first = min(end for _, end in under_way.values())
+        try:
+            number, row = done.get(timeout=None if first == math.inf else max(0.0, first - time.monotonic()))
+        except queue.Empty:
+            now = time.monotonic()
+            for number in [n for n, (_, end) in under_way.items() if end <= now]:
+                row = under_way.pop(number)[0]
+                row.pop("prompt")
+                yield row | {"choices": None, "error": f"{TIMED_OUT}: no answer in {time_limit} s"}
+            continue
+        if under_way.pop(number, None) is not None:
+            yield row
+
+
+def _complete_batches(
+    factory: ClientFactory, settings: dict, calls_in_flight: int, as_finished: bool, time_limit: float | None
+):
     schema = to_arrow_schema(schemas.COMPLETIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,18 +85,27 @@ def _complete_batches(factory: ClientFactory, settings: dict, calls_in_flight: i
                 row["error"] = f"{type(error).__name__}: {error}"
             return row
 
-        # A call waits far longer than it computes, so a core may hold several;
-        # answers keep the order of their rows, a batch bounds what is in hand.
-        with ThreadPoolExecutor(calls_in_flight) as pool:
-            for batch in batches:
+        def answers() -> Iterator[dict]:
+            # A call waits far longer than it computes, so a core may hold several.
+            if calls_in_flight == 1 and time_limit is None:
+                yield from (answered(row) for batch in batches for row in batch.to_pylist())
+            elif as_finished:
+                rows = (row for batch in batches for row in batch.to_pylist())
+                yield from _finished(rows, answered, calls_in_flight, time_limit)
+            else:
+                for batch in batches:  # in the order of its rows, a batch at a time
+                    rows = ({**row, "at": at} for at, row in enumerate(batch.to_pylist()))
+                    found = list(_finished(rows, answered, calls_in_flight, time_limit))
+                    yield from sorted(found, key=lambda row: row.pop("at"))
+
+        done = []
+        for row in answers():
+            done.append(row)
+            if len(done) == FLUSH_ROWS:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
                 done = []
-                for row in pool.map(answered, batch.to_pylist()):
-                    done.append(row)
-                    if len(done) == FLUSH_ROWS:
-                        yield pa.RecordBatch.from_pylist(done, schema=schema)
-                        done = []
-                if done:
-                    yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     return run
 
@@ -88,11 +137,16 @@ def complete(
     params: Mapping[str, str] | None = None,
     attempt: int = 1,
     calls_in_flight: int = 1,
+    as_finished: bool = False,
+    time_limit: float | None = None,
 ) -> DataFrame:
     """One answer per row; a client that raises gives a null answer and its message.
 
     The client is built once per partition and called from up to
     ``calls_in_flight`` threads there (with more than one it has to bear that).
+    Rows come in their own order or, ``as_finished``, in that of the answers, where a
+    slow call holds up nothing but itself.  A call that takes more than ``time_limit``
+    seconds is given up and fails alone.
     Answers cost money and differ from call to
     call: write the result before reading it more than once.
     """
@@ -102,7 +156,7 @@ def complete(
         with_request_sha(keyed, settings)
         .withColumn("attempt", F.lit(attempt))
         .select("repo", "name", "prompt_sha", "request_sha", "attempt", "prompt")
-        .mapInArrow(_complete_batches(client_factory, settings, calls_in_flight), schemas.COMPLETIONS)
+        .mapInArrow(_complete_batches(client_factory, settings, calls_in_flight, as_finished, time_limit), schemas.COMPLETIONS)
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import platform
 from collections.abc import Mapping
+from contextlib import suppress
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -31,7 +32,7 @@ from sourcemine.plans.discovery import (
     tree_files,
 )
 from sourcemine.plans.discovery import source_files as scanned
-from sourcemine.sinks.tables import append_failures, export_files
+from sourcemine.sinks.tables import append_failures, export_files, replace_runs
 from sourcemine.storage import materialize, text_batches, write_table
 
 TOTALS = ("files_scanned", "files_failed", "functions_found", "methods_found", "candidates", "harnesses", "failures")
@@ -142,6 +143,20 @@ def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     return df.observe(seen, *[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in counts.items()]), seen
 
 
+def _report(spark: SparkSession, output: str, job: str, at: Column, context: str, message: str, error: Exception) -> None:
+    """A failure that is not one of a candidate; a report that fails hides nothing."""
+    first = str(error).strip().split("\n")[0]
+    row = spark.range(0, 1, 1, 1).select(
+        F.lit(job).alias("run_id"),
+        at.alias("ts"),
+        F.lit(context).alias("context"),
+        F.lit(None).cast("string").alias("name"),
+        F.lit(message.replace("{error}", first)).alias("error_msg"),
+    )
+    with suppress(Exception):
+        append_failures(row, f"{output}/fatal")
+
+
 def run(
     spark: SparkSession,
     source_files: DataFrame | str,
@@ -161,6 +176,7 @@ def run(
     scan_root: str | None = None,
     calls_in_flight: int = 1,
     export: str | None = None,
+    time_limit: float | None = None,
 ) -> RunResult:
     """Everything below ``output/<table>/job=<job>``; the same job can be run again.
 
@@ -171,43 +187,49 @@ def run(
     environment at ``scan_root`` itself is no reason to leave files out.  Each ``repo`` is one tree with its own names and
     its own run label, made of the last part of its name.  ``workers`` is the number
     of tasks that call, each from ``calls_in_flight`` threads.  ``export`` is a shared
-    folder for the accepted files; one that cannot be saved is a failure.  ``totals``
-    is one row on the run: settings, files, units, candidates, outcomes.  The tables returned are those of this attempt: read them
+    folder for the accepted files; one that cannot be saved is a failure.  ``time_limit``
+    is that of a call, in seconds.  ``totals`` is one row on this attempt: settings,
+    files, units, candidates, outcomes.  ``output/outcomes`` holds the outcomes of all
+    runs by ``run_id``, of which an attempt replaces its own.  Whatever ends a run is
+    reported in ``output/fatal``.  The tables returned are those of this attempt: read them
     before the same job runs again.
     """
-    workers = workers or spark.sparkContext.defaultParallelism
-    model = model.strip()
     at = F.lit((ts or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    try:
+        return _run(
+            spark, source_files, templates, docs, docs_block, prompt_id, client_factory, model.strip(), output, job,
+            smell, workers or spark.sparkContext.defaultParallelism, calls_per_task, params, at, scan_root,
+            calls_in_flight, export, time_limit,
+        )
+    except Exception as error:
+        _report(spark, output, job, at, fixed.CONTEXT_ORCHESTRATION, fixed.MESSAGE_FATAL, error)
+        raise
 
+
+def _run(
+    spark, source_files, templates, docs, docs_block, prompt_id, client_factory, model, output, job,
+    smell, workers, calls_per_task, params, at, scan_root, calls_in_flight, export, time_limit,
+) -> RunResult:
     def place(table: str) -> str:
         return f"{output}/{table}/job={job}"
 
-    try:
-        settings = lookup_template(templates, prompt_id)
-    except KeyError as error:
-        message = fixed.MESSAGE_FATAL.replace("{error}", str(error))
-        append_failures(
-            spark.range(0, 1, 1, 1).select(
-                F.lit(job).alias("run_id"),
-                at.alias("ts"),
-                F.lit(fixed.CONTEXT_ORCHESTRATION).alias("context"),
-                F.lit(None).cast("string").alias("name"),
-                F.lit(message).alias("error_msg"),
-            ),
-            f"{output}/fatal",
-        )
-        raise
+    settings = lookup_template(templates, prompt_id)
     told = call_settings(model, settings["temperature"], params)
     prompt = {"template": F.lit(settings["template"]), "docs": docs_text(docs, docs_block)}
 
     files = tree_files(spark, source_files) if isinstance(source_files, str) else scanned(source_files, scan_root)
-    found, of_units = _observed(
+    parsed, of_units = _observed(
         parsed_units(files, smell),
         files_scanned=F.count_if(F.col("pos") == 0),
         files_failed=F.count_if(F.col("error").isNotNull()),
         targets=F.sum(target_count()),
     )
-    units = write_table(found, place("units"), by="kind")
+    try:
+        units = write_table(parsed, place("units"), by="kind")
+    except Exception as error:
+        for message in (fixed.MESSAGE_FUNCTIONS, fixed.MESSAGE_CLASSES):
+            _report(spark, output, job, at, fixed.CONTEXT_PARSER, message, error)
+        raise
     calls_per_job = workers * calls_per_task
     # Before names meet and scores are applied, so at least as many as are needed.
     waves = max(1, -(-of_units.get["targets"] // calls_per_job))
@@ -234,11 +256,14 @@ def run(
         model=model,
         params=params,
         calls_in_flight=calls_in_flight,
+        as_finished=True,
+        time_limit=time_limit,
     )
     answers = completions.select(
         text_rules.run_label(text_rules.base_name(F.col("repo")), F.lit(model), at).alias("run_id"),
         "name",
         text_rules.first_choice(F.col("choices")).alias("response"),
+        "error",
     )
     good, of_harnesses = _observed(outcomes.accepted(answers), harnesses=F.count(F.lit(1)))
     harnesses = write_table(good, place("harnesses"))
@@ -248,6 +273,7 @@ def run(
         failed = failed.unionByName(outcomes.not_exported(exported, at))
     failed, of_failures = _observed(failed, failures=F.count(F.lit(1)))
     failures = write_table(failed, f"{place('failures')}/attempt={attempt}")
+    replace_runs(outcomes.outcome_rows(harnesses, failures), f"{output}/outcomes")
     counts = of_units.get | of_candidates.get | of_harnesses.get | of_failures.get
     # Which syntax counts as an error depends on the parser's version.
     totals = write_table(

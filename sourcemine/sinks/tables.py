@@ -27,6 +27,13 @@ def append_failures(failures: DataFrame, path: str) -> None:
     failures.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def replace_runs(rows: DataFrame, path: str) -> None:
+    """Put runs into a table of all runs, one partition for each ``run_id``: those that
+    ``rows`` has are replaced whole, all others stay as they are."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+
+
 def _write_files(root: str):
     schema = to_arrow_schema(EXPORTED)
 
