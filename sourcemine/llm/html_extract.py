@@ -1,13 +1,13 @@
 """Main text of web pages by minimum-cut labelling of blocks.
 
-A page is cut into blocks at block tags.  A linear classifier over a block's
+A page is cut into blocks at block tags, in time linear in its length however broken its markup is.  A linear classifier over a block's
 place, markup and words gives the cost of calling it content or boilerplate;
 the two costs are the capacities from and to the terminals.  Neighbours in page
-order and neighbours under one parent are tied by smoothness edges, and the
-maximum flow from content to boilerplate splits the blocks at least total cost.
+order and neighbours in one container (paragraphs of a section, items of a list) are
+tied by smoothness edges, and the maximum flow from content to boilerplate splits the blocks at least total cost.
 
 Scripts, styles, text areas, the head, comments and other markup never become
-blocks; a tag without an end never takes the rest of the page with it, but for
+blocks; a tag or comment without an end never takes the rest of the page with it, but for
 scripts, styles and text areas.  Character
 references are decoded, white space inside a block becomes one blank, blocks
 are joined in page order by one blank.  Null and empty pages, and pages without
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.DOTALL,
-)
+_SPECIAL = re.compile("['\">]")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _LABEL = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
 #: Elements whose inside is no markup and no text of the page; a head ends at its end or where the body begins.
@@ -51,6 +49,11 @@ BOILER, OUTER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "
 #: Controls stand inside a line: they make blocks of their own.
 CONTROL, IN_CONTROL = ("button", "select"), {"option", "br", "hr"}
 MAIN = {"article", "main"}
+#: Elements that hold one text; their container is the element around them.
+TEXTUAL = {
+    "p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption",
+    "caption", "summary", "legend", "option", "address",
+}
 BOILER_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "disqus", "footer", "form", "gdpr",
@@ -68,7 +71,7 @@ SMOOTH_NEXT, SMOOTH_PARENT, UNIT = 60, 40, 100
 @dataclass
 class Block:
     text: str
-    parent: int  # number of the element that holds it
+    parent: int  # number of the container: of an element of text, what holds it
     boiler: int  # elements around it that mark boilerplate
     main: int
     heading: bool
@@ -95,14 +98,74 @@ def _marks(name: str, attributes: str, inside_main: bool, inside_article: bool)
     return int(boiler), int(main), int(doubt)
 
 
+class Tags:
+    """The markup of a page, one piece after the other: ``(start, end, closing, name,
+    attributes)``; the name is empty for comments and declarations.
+
+    A tag ends at the first ``>`` outside quotes, and ``<`` is text where there is none.
+    Where each quote and ``>`` leads to is worked out once, from the end backwards, so
+    no part of a page is searched again for every ``<`` before it.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.places = [found.start() for found in _SPECIAL.finditer(page)]
+        n = len(self.places)
+        self.ends = [-1] * (n + 1)  # of a tag that meets this special character first
+        after = {"'": n, '"': n}  # the next such quote
+        for i in range(n - 1, -1, -1):
+            kind = page[self.places[i]]
+            if kind == ">":
+                self.ends[i] = self.places[i]
+            else:
+                other = after[kind]
+                self.ends[i] = self.ends[other + 1] if other < n else -1
+                after[kind] = i
+        self.missing: set[str] = set()  # what no later part of the page holds
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def search(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        if pattern.pattern in self.missing:
+            return None
+        found = pattern.search(self.page, at)
+        if found is None:
+            self.missing.add(pattern.pattern)
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith(("<!", "<?"), start):
+                for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                    if page.startswith(opening, start):
+                        end = self.find(closing, start + len(opening))
+                        if end >= 0:
+                            return start, end + len(closing), "", "", ""
+            elif tag := _NAME.match(page, start):
+                end = self.ends[bisect_left(self.places, tag.end())]
+                if end >= 0:
+                    return start, end + 1, tag[1], tag[2], page[tag.end() : end]
+        return None
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    # name, number, boiler, main, doubts, inside article or main
+    # name, container of the texts in it, boiler, main, doubts, inside article or main
     stack: list[tuple[str, int, int, int, int, bool]] = [("", 0, 0, 0, 0, False)]
+    open_: Counter = Counter()
     parts: list[str] = []
-    linked = number = at = links = 0
+    linked = number = at = 0
     heading = False
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal linked, heading
@@ -117,60 +180,60 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if links:
+            if open_["a"]:
                 linked += len(text.strip())
 
     def close(name: str) -> None:
-        nonlocal links
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] == name:
-                for gone in stack[depth:]:
-                    links -= gone[0] == "a"
-                del stack[depth:]
-                return
-
-    while tag := _TAG.search(page, at):
-        add(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
+        if open_[name]:
+            while True:
+                gone = stack.pop()[0]
+                open_[gone] -= 1
+                if gone == name:
+                    return
+
+    while tag := tags.next(at):
+        start, end, closing, name, attributes = tag
+        add(page[at:start])
+        at, name = end, name.lower()
         if not name:
             continue
-        if name == "head" and not tag[1]:
-            end = _HEAD_END.search(page, at)
-            if end:
-                at = end.end() if end[0][1] == "/" else end.start()
+        if name == "head" and not closing:
+            over = tags.search(_HEAD_END, at)
+            if over:
+                at = over.end() if over[0][1] == "/" else over.start()
             continue  # without either, what follows is read as any other part
-        if name in RAW and not tag[1] and not tag[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+        if name in RAW and not closing and not attributes.rstrip().endswith("/"):
+            over = tags.search(re.compile(rf"</{name}\s*>", re.IGNORECASE), at)
+            at = over.end() if over else len(page)
             continue
-        if name in INERT and not tag[1]:
-            end = re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if end and end[1]:
-                at = end.end()
+        if name in INERT and not closing:
+            over = tags.search(re.compile(rf"<(/?){name}\b[^>]*>", re.IGNORECASE), at)
+            if over and over[1]:
+                at = over.end()
                 continue
         if name in BLOCK or name in CONTROL:
             flush()
         if name in BLOCK and name not in IN_CONTROL:
             # A control that was never closed ends where the next block begins or ends.
             for control in CONTROL:
-                if any(x[0] == control for x in stack):
-                    close(control)
-        if tag[1]:
+                close(control)
+        if closing:
             close(name)
         elif name not in VOID:
-            if name in CLOSES_P and any(x[0] == "p" for x in stack[-8:]):
+            if name in CLOSES_P and open_["p"] and any(x[0] == "p" for x in stack[-8:]):
                 close("p")
             if name == "li" and stack[-1][0] == "li":
                 close("li")
             number += 1
-            _, _, boiler, main, doubts, inside = stack[-1]
-            more = _marks(name, tag[3], main > 0, inside)
+            _, parent, boiler, main, doubts, inside = stack[-1]
+            if name in BLOCK and name not in TEXTUAL:
+                parent = number
+            more = _marks(name, attributes, main > 0, inside)
             stack.append(
-                (name, number, boiler + more[0], main + more[1], doubts + more[2], inside or name in MAIN)
+                (name, parent, boiler + more[0], main + more[1], doubts + more[2], inside or name in MAIN)
             )
-            links += name == "a"
-        heading = heading or (not tag[1] and name in ("h1", "h2", "h3"))
+            open_[name] += 1
+        heading = heading or (not closing and name in ("h1", "h2", "h3"))
     rest = page[at:]
     cut = rest.find("<")  # markup that never ends is no text
     if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]):
