@@ -60,8 +60,14 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Whole conversations in one partition each, their turns in order."""
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    """Whole conversations in one partition each, their turns in order; rows of one
+    turn by role and text as they were before the escapes."""
+    head = F.regexp_extract("formatted", rf"(?s)^{OPEN}((?:[^\\<]|\\.)*){SAYS}", 0)
+    role = F.substr("formatted", F.lit(len(OPEN) + 1), F.length(head) - len(OPEN) - len(SAYS))
+    length = F.length("formatted") - F.length(head) - len(CLOSE)
+    text = F.substr("formatted", F.length(head) + 1, length)
+    plain = [F.regexp_replace(part, r"(?s)\\(.)", "$1") for part in (role, text)]
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", *plain)
 
 
 def placed(rows: DataFrame) -> DataFrame:
