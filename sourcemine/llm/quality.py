@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcemine.llm.common import stored
+
 SYMBOLS = "#*$%&|<>"
 RUN = 8  # words in a window of the repetition rule
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts"]
@@ -123,6 +125,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The ledger as a table: ``keys``, measurements and bits, written once.  Policies
+    and ablations read it and neither the texts nor the rules again."""
+    return stored(ledger(docs.select(*keys, "text")).drop("text"), "ledger")
+
+
 def kept(version: str = CURRENT) -> Column:
     """Whether a row of the ledger passes a policy."""
     return F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0

@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op3_quality_ledger(spark, sf_dir):
-    rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = quality.stored_ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     base = quality.POLICIES["v1"]
     return rows.select(
         "doc_id",
