@@ -50,6 +50,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _seed(number: int, factor: int) -> np.uint64:
+    return _U((number + 1) * factor & ((1 << 64) - 1))
+
+
 class Words(dict):
     """Hashes of words met so far, a bounded number of them."""
 
@@ -96,10 +100,10 @@ def marks(text: str | None, known: Words) -> tuple[int, int, int, int, list[int]
     names = [int(x.sum(dtype=_U).view(np.int64)) for x in (found, own)]
     samples = []
     for t in range(TABLES):
-        keys = _mixed(own + _U(t + 1) * _U(0xD6E8FEB86659FD93))
+        keys = _mixed(own ^ _seed(t, 0xD6E8FEB86659FD93))
         k = min(SAMPLE, len(keys))
         samples.append(majority(np.partition(keys, k - 1)[:k]))
-    sketch = [int(_mixed(own ^ _U((t + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)).min().view(np.int64)) for t in range(SKETCH)]
+    sketch = [int(_mixed(own ^ _seed(t, 0xA0761D6478BD642F)).min().view(np.int64)) for t in range(SKETCH)]
     return *names, len(found), majority(found), samples, sketch
 
 
