@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sourcemine.llm import chat, collocations, hard_negatives, html_extract, near_copies, neighbours, packing, quality, sharding
+from sourcemine.llm import chat, collocations, hard_negatives, html_extract, near_copies, neighbours, packing, quality, sharding, topk
 from sourcemine.llm.common import stored
 from sourcemine.llm.queries import QUERIES, table
 
@@ -112,6 +112,25 @@ def test_hard_negatives_are_exact_beyond_doubles(spark):
     assert got == _plain_negatives(big, lambda i: i == 0, 5, 10, 30, 90) and [r[3] for r in got] == [3, 2]
 
 
+def test_top_k_is_exact_beyond_doubles_and_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STORED", 16)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "HEAD", 32)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-40, 40, (200, 6)) / 4
+    x[:6] = 1e6 + np.arange(36).reshape(6, 6) / 2  # products of about 2 ** 58
+    x[20:24] = x[24:28]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(spark, df, "vec_id % 10 = 0 OR vec_id < 3").collect()))
+    whole = [[int(256 * v) for v in row] for row in x.astype(np.float32).astype(float)]
+    want = []
+    for q in (i for i in range(200) if i % 10 == 0 or i < 3):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(200) if i != q)
+        want += [(q, rank, i, -score) for rank, (score, i) in enumerate(scores[:5], 1)]
+    assert got == sorted(want)
+
+
 # collocations
 
 
