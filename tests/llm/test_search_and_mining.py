@@ -375,4 +375,4 @@ def test_stages_leave_values_as_they_came(spark):
         assert rows and all(before[r["doc_id"]] == r for r in rows), name
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
     members = Counter(m["doc_id"] for r in packed for m in r["members"] if m["piece"] == 0)
-    assert members == Counter(before.keys()) and all(4 < len(r["ids"]) <= 4 * 2048 for r in packed)
+    assert members == Counter(before.keys()) and all(4 <= len(r["ids"]) <= 4 * 2048 for r in packed)
