@@ -85,3 +85,19 @@ def test_late_functions_equal_early_ones_and_sort_no_text(spark, files):
         plan = late._jdf.queryExecution().executedPlan().toString()
         assert "Sort" not in plan and "Exchange" not in plan
         assert sorted(late.collect()) == want
+
+
+def test_a_class_text_is_there_once_and_candidates_hold_none(spark, files):
+    from sourcemine.plans import discovery
+
+    body = "".join(f"    def m{i}(self): return {i}\n" for i in range(300))
+    texts = {"a.py": f"class C:\n{body}", "b.py": "class C:\n    def m7(self): return 'b'\ndef f(): pass\n"}
+    units = materialize(discovery.scored_units(discovery.parsed_units(files(texts), False), False), "once", by="kind")
+    whole = discovery.candidate_texts(units)
+    assert sorted(r["path"] for r in whole.where("kind = 'method'").collect()) == ["a.py", "b.py"]
+    found = {r["name"]: r for r in discovery.candidates_of(whole).collect()}
+    assert len(found) == 301 and found["C.m7"]["path"] == "b.py" and found["C.m8"]["code"] == "def m8(self): return 8"
+    assert found["C.m8"]["class_code"] == f"class C:\n{body}".rstrip("\n") and found["f"]["class_code"] is None
+    waved = discovery.candidate_texts(units, waves=4)
+    assert sum(len(r["wanted"]) for r in waved.collect()) == 301
+    assert waved.where("path = 'a.py'").count() == 4

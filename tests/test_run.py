@@ -421,3 +421,38 @@ def test_unstorable_answers_fail_alone(spark):
     rows = complete(asked, lambda: lambda prompt, **settings: answers[prompt], 0.1).collect()
     got = {r["name"]: (r["error"] or "").split(":")[0] for r in rows}
     assert got == {"0": "UnicodeEncodeError", "1": "TypeError", "2": "TypeError", "3": "TypeError", "4": "", "5": ""}
+
+
+def test_candidates_hold_no_text_and_a_folder_is_read_once(spark, templates, docs, tmp_path):
+    folder = tmp_path / "repo"
+    (folder / "venv" / "bin").mkdir(parents=True)
+    for name, text in {"a.py": "def f(): pass\n", "venv/pyvenv.cfg": "", "venv/bin/python": "", "venv/x.py": "def g(): pass\n"}.items():
+        (folder / name).write_text(text)
+    result = run(
+        spark, str(folder), templates, docs, "b", prompt_id="base", client_factory=steady_client, model="m",
+        output=new_scratch_path(spark, "t"), job="j", ts=AT, calls_in_flight=2, time_limit=60,
+    )
+    assert [r["name"] for r in result.harnesses.collect()] == ["f"]
+    assert not {"code", "class_code", "prompt"} & set(result.candidates.columns)
+
+
+def test_a_scan_that_fails_is_reported(spark, files, templates, docs):
+    output = new_scratch_path(spark, "t")
+    broken = files(SOURCES).withColumn("content", F.raise_error(F.lit("no such disk")))
+    with pytest.raises(Exception, match="no such disk"):
+        start(spark, lambda _: broken, templates, docs, output, offline_client)
+    report = {(r["context"], r["error_msg"][:40]) for r in spark.read.parquet(f"{output}/fatal").collect()}
+    assert {c for c, _ in report} == {"Parser", "Orchestration"} and len(report) == 3
+
+
+def test_all_runs_are_in_one_table(spark, files, templates, docs):
+    output = new_scratch_path(spark, "t")
+    sources = {"a.py": "def f(): pass\ndef g(): pass\n"}
+    for model in ("one", "two"):
+        start(spark, files, templates, docs, output, offline_client, sources=sources, model=model, job=model)
+    start(spark, files, templates, docs, output, steady_client, sources=sources, model="one", job="one", params={"k": "2"})
+    rows = spark.read.parquet(f"{output}/outcomes").collect()
+    assert len(rows) == 4 and len({r["run_id"] for r in rows}) == 2
+    assert {r["code"][:5] for r in rows if "using(one" in r["run_id"]} == {"# one"}
+    totals = spark.read.parquet(f"{output}/runs/job=one").collect()
+    assert sorted(r["attempt"] for r in totals) == [1, 2]
