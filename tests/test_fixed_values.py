@@ -35,6 +35,11 @@ LITERALS = {
     "MESSAGE_NO_BLOCK": "No code block found in LLM response for: {name}",
     "MESSAGE_EMPTY": "Empty response from LLM for candidate: {name}",
     "MESSAGE_UNEXPECTED": "Unexpected error processing {name}: {error}",
+    "CONTEXT_PARSER": "Parser",
+    "CONTEXT_THREADING": "Threading",
+    "MESSAGE_FUNCTIONS": "Critical error during function retrieval: {error}",
+    "MESSAGE_CLASSES": "Critical error during class retrieval: {error}",
+    "MESSAGE_THREAD": "Thread execution failed for {name}: {error}",
     "MESSAGE_FATAL": "Fatal coordination error: {error}",
     "FAILURE_TIME_FORMAT": "yyyy-MM-dd HH:mm:ss",
     "FAILURE_ENTRY_FORMAT": "[{ts}] [{context}]\n{message}\n----------------------------------------\n",
