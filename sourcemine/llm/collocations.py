@@ -47,7 +47,7 @@ from sourcemine.storage import BATCH_SETTING, _settings
 
 LONGEST, LEAST, SHARE, SCALE, TOP = 5, 100, 100, 1000, 2000
 SLICE_BYTES = 1 << 20
-CHUNK_WORDS = 2_000_000  # of all languages that a task has open
+CHUNK_WORDS = 3_000_000  # of all languages that a task has open
 FILTER_ENTRIES = 1 << 20  # of one task, before it sends them on
 SEGMENT_ENTRIES = 1 << 21  # expected at most in a segment, over all tasks
 BLOOM_BITS = 26
