@@ -325,6 +325,6 @@ def sequences_of(docs: DataFrame, vocabulary: str = tokens.BYTE, capacity: int =
     32-bit numbers) and ``members`` (``doc_id, piece, offset``), in which a document that
     is there twice stands twice.  Ids meet their places last, so they are not sorted."""
     whole = pieces(docs, vocabulary, capacity, with_ids=True)
-    whole = stored_from_texts(whole.withColumn("at", F.monotonically_increasing_id()), "whole-pieces")
-    placed = packed(whole.drop("ids"), capacity).select("at", "sequence_id", "offset")
-    return sequences(whole.select("at", "doc_id", "piece", "ids").join(placed, "at"))
+    whole = stored_from_texts(whole.withColumn("_whole", F.monotonically_increasing_id()), "whole-pieces")
+    placed = packed(whole.drop("ids"), capacity).select("_whole", "sequence_id", "offset")
+    return sequences(whole.select("_whole", "doc_id", "piece", "ids").join(placed, "_whole"))
