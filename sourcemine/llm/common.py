@@ -12,19 +12,23 @@ from sourcemine.storage import new_scratch_path, text_batches
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Codec of stored tables that hold the texts or ids of the whole corpus.
+DENSE = "zstd"
+
+
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write to the shared scratch folder and read back: later readers and lost
     executors start from the files, not from the work before them."""
     path = new_scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_from_texts(df: DataFrame, label: str) -> DataFrame:
+def stored_from_texts(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``stored`` for a stage that hands whole texts to Python: small batches
     bound what a task holds at once on both sides."""
     with text_batches(df.sparkSession):
-        return stored(df, label)
+        return stored(df, label, codec)
 
 
 def n_words(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sourcemine.llm.common import n_words, numbered, ranged, stored
+from sourcemine.llm.common import DENSE, n_words, numbered, ranged, stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -122,7 +122,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
     key = "_row"
-    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "mix")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "mix", DENSE)
     sizes = stored(
         rows.select(F.col(key).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes"
     )

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcemine.llm import simhash
-from sourcemine.llm.common import stored, stored_from_texts
+from sourcemine.llm.common import DENSE, stored, stored_from_texts
 from sourcemine.llm.components import components
+from sourcemine.storage import passing
 
 SHINGLE, SIMILAR = 5, (4, 5)  # words, and 4 / 5 as whole numbers
 TABLES, SAMPLE = 8, 3
@@ -127,7 +128,10 @@ def _shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` that are similar, by their whole sets."""
+    """The pairs ``(u, v)``, stored, that are similar, by their whole sets.  Where few
+    pairs are left, only the sets of these travel."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    sets = sets.join(asked, "class", "left_semi")
     a = sets.select(F.col("class").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("class").alias("v"), F.col("set").alias("b"))
     common = F.size(F.array_intersect("a", "b")).cast("long")
@@ -159,7 +163,7 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     for _ in range(HUBS):
         hubs = left.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("of")).where("of > 1")
         met = stored(left.join(hubs.select("bucket", "hub"), "bucket").where("class != hub"), "met")
-        pairs = met.select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct()
+        pairs = stored(met.select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
         found.append(stored(_checked(pairs, sets), "links"))
         done = found[-1].select(F.col("u").alias("class"), F.col("v").alias("hub"))
         left = stored(met.join(done, ["class", "hub"], "left_anti").select("bucket", "class"), "left")
@@ -175,7 +179,14 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay.  See the head of the module."""
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = stored_from_texts(rows.select("*", F.arrow_udf(_MARKS)(_marks)("doc.text").alias("m")), "marked")
+    rows = stored_from_texts(rows.select("*", F.arrow_udf(_MARKS)(_marks)("doc.text").alias("m")), "marked", DENSE)
+    with passing(docs.sparkSession, "stay"):  # of all that finds them only the rows are left
+        stay = stored(_staying(rows), "stay")
+    return rows.join(stay, "row", "left_semi").select("doc.*")
+
+
+def _staying(rows: DataFrame) -> DataFrame:
+    """``row`` of the documents that stay."""
     # Equal sets are one class, named by a row that stands for it.
     first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row"))
     classes = rows.groupBy("m.d1", "m.d2", "m.n").agg(
@@ -188,4 +199,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     roots = components(links(classes, texts)).withColumnRenamed("u", "class")
     named = classes.select("class", "first").join(roots, "class", "left")
     stay = named.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(stay.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
+    return stay.select(F.col("first.row").alias("row"))

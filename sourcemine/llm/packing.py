@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcemine.llm import tokens
-from sourcemine.llm.common import numbered, stored_from_texts
+from sourcemine.llm.common import DENSE, numbered, stored_from_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -55,8 +55,17 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     return ([first] if first else []) + [capacity] * (n // capacity)
 
 
-def pieces(docs: DataFrame, vocabulary: str = tokens.BYTE, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of all texts."""
+def narrowed(ids: bytes) -> bytes:
+    """Ids in 16 bits each where all of them fit, else as they are."""
+    numbers = np.frombuffer(ids, "<u4")
+    return numbers.astype("<u2").tobytes() if numbers.max() < 1 << 16 else ids
+
+
+def pieces(
+    docs: DataFrame, vocabulary: str = tokens.BYTE, capacity: int = CAPACITY, with_ids: bool = False, narrow: bool = False
+) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, ``narrow`` in 16 bits
+    where they fit) of all texts."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -74,7 +83,7 @@ def pieces(docs: DataFrame, vocabulary: str = tokens.BYTE, capacity: int = CAPAC
                 for k, length in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     source.append(i)
-                    row = (k, start, length, zlib.crc32(part), part)
+                    row = (k, start, length, zlib.crc32(part), narrowed(part) if narrow else part)
                     for column, value in zip(out[1:], row):
                         column.append(value)
                     start += length
@@ -311,10 +320,12 @@ def planned(rows: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """The packed sequences themselves from placed pieces with ``ids``: a group
-    holds at most one sequence of ids."""
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
-    whole = F.expr("aggregate(parts, CAST('' AS BINARY), (a, p) -> concat(a, p.ids))")
+    """The packed sequences themselves from placed pieces with ``ids``, narrow or not: a
+    group holds at most one sequence of ids."""
+    ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
+    wide = "regexp_replace(hex(p.ids), '(.{4})', '$10000')"  # two zero bytes behind every two
+    digits = f"transform(parts, p -> IF(octet_length(p.ids) = 4 * p.length, hex(p.ids), {wide}))"
+    whole = F.expr(f"unhex(array_join({digits}, ''))")
     return rows.groupBy("sequence_id").agg(ordered.alias("parts")).select(
         "sequence_id", whole.alias("ids"), F.expr("transform(parts, p -> struct(p.doc_id, p.piece, p.offset))").alias("members")
     )
@@ -323,8 +334,9 @@ def sequences(rows: DataFrame) -> DataFrame:
 def sequences_of(docs: DataFrame, vocabulary: str = tokens.BYTE, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences of all texts: ``sequence_id, ids`` (little-endian unsigned
     32-bit numbers) and ``members`` (``doc_id, piece, offset``), in which a document that
-    is there twice stands twice.  Ids meet their places last, so they are not sorted."""
-    whole = pieces(docs, vocabulary, capacity, with_ids=True)
-    whole = stored_from_texts(whole.withColumn("_whole", F.monotonically_increasing_id()), "whole-pieces")
+    is there twice stands twice.  Ids meet their places last, so they are not sorted, and
+    they travel in 16 bits each where they fit."""
+    whole = pieces(docs, vocabulary, capacity, with_ids=True, narrow=True)
+    whole = stored_from_texts(whole.withColumn("_whole", F.monotonically_increasing_id()), "whole-pieces", DENSE)
     placed = packed(whole.drop("ids"), capacity).select("_whole", "sequence_id", "offset")
-    return sequences(whole.select("_whole", "doc_id", "piece", "ids").join(placed, "_whole"))
+    return sequences(whole.select("_whole", "doc_id", "piece", "length", "ids").join(placed, "_whole"))

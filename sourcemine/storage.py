@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
+_inside: ContextVar[tuple[list[str], ...]] = ContextVar("inside", default=())
 
 # Rows per Arrow batch where a row is a whole file or a whole prompt.  Spark's
 # own default of 10,000 such rows would be gigabytes in one Python worker.
@@ -58,19 +60,42 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_dir(spark)}/sourcemine/{label}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for paths in _inside.get():
+        paths.append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables that this application has made so far, and
-    only those.  Results that are still read from them must be written before."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(paths)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has made so far, and
+    only those.  Results that are still read from them must be written before."""
+    return _delete(spark, _made.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def passing(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Delete the intermediate tables that are made inside, but those with a label of
+    ``kept``, from which the result is read.  What ran before or beside is not touched."""
+    paths: list[str] = []
+    _inside.set((*_inside.get(), paths))
+    try:
+        yield
+    finally:
+        _inside.set(_inside.get()[:-1])
+    gone = [path for path in paths if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in kept]
+    _delete(spark, gone)
+    own = _made.get(spark.sparkContext.applicationId, [])
+    for path in gone:
+        if path in own:
+            own.remove(path)
+
+
 def write_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Write a table that belongs to one job and read it back.
 

@@ -5,13 +5,15 @@ import random
 import time
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sourcemine.llm import chat, collocations, hard_negatives, html_extract, near_copies, neighbours, packing, quality, sharding, topk
+from sourcemine import storage
+from sourcemine.llm import chat, collocations, hard_negatives, html_extract, near_copies, neighbours, packing, quality, sharding, tokens, topk
 from sourcemine.llm.common import stored
 from sourcemine.llm.queries import QUERIES, table
 
@@ -376,3 +378,43 @@ def test_stages_leave_values_as_they_came(spark):
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
     members = Counter(m["doc_id"] for r in packed for m in r["members"] if m["piece"] == 0)
     assert members == Counter(before.keys()) and all(4 <= len(r["ids"]) <= 4 * 2048 for r in packed)
+
+
+def test_packing_keeps_ids_narrow_on_disk(spark):
+    """Stored pieces take at most two bytes an id; sequences hold the ids of the library."""
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, 6)) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 3000, 200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(200, None)], "doc_id bigint, text string")
+    got = packing.sequences_of(df).collect()
+    ids = {(m["doc_id"], m["piece"]): bytes(r["ids"])[4 * m["offset"] :] for r in got for m in r["members"]}
+    encoder = tokens.Encoder(tokens.BYTE)
+    n = 0
+    for i, text in [*enumerate(texts), (200, None)]:
+        want, at = encoder.library(text or "") + bytes(4), 0
+        n += len(want) // 4
+        for k, length in enumerate(packing.cut(len(want) // 4)):
+            assert ids[i, k][: 4 * length] == want[4 * at : 4 * (at + length)]
+            at += length
+    assert sum(len(r["ids"]) for r in got) == 4 * n
+    path = next(p for p in reversed(storage._made[spark.sparkContext.applicationId]) if "/whole-pieces-" in p)
+    assert sum(f.stat().st_size for f in Path(path).glob("*.parquet")) < 2.2 * n
+
+
+def test_ids_beyond_16_bits_stay_whole(spark):
+    numbers = [[1, 70_000, 3], [65_535, 0]]
+    parts = [np.array(x, "<u4").tobytes() for x in numbers]
+    narrow = [packing.narrowed(x) for x in parts]
+    assert narrow[0] == parts[0] and len(narrow[1]) == 4
+    rows = [(0, offset, k, 0, len(x), ids) for k, (offset, x, ids) in enumerate(zip((0, 3), numbers, narrow))]
+    kinds = "sequence_id bigint, offset bigint, doc_id bigint, piece int, length bigint, ids binary"
+    assert bytes(packing.sequences(spark.createDataFrame(rows, kinds)).first()["ids"]) == b"".join(parts)
+
+
+def test_near_copies_leave_no_working_tables(spark):
+    rows = [(i, " ".join(f"w{(i // 2) * 40 + k}" for k in range(30)) + " x" * (i % 2)) for i in range(40)]
+    before = len(storage._made.get(spark.sparkContext.applicationId, []))
+    df = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    labels = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._made[spark.sparkContext.applicationId][before:]]
+    assert sorted(labels) == ["marked", "stay"]
+    assert sorted(r["doc_id"] for r in df.collect()) == list(range(0, 40, 2))
