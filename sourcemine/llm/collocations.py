@@ -4,11 +4,12 @@ Everything is by language (null: ``und``).  ASCII capitals become small, texts s
 at ``[.,;:!?\\x0A-\\x0D]`` into pieces and pieces into words ``[^\\x20\\x09]+``.
 
 1. **Words.**  A task turns texts of one language into a chunk: words numbered as
-   they come, and the text as these numbers, 0 between pieces.  Spark sums the counts
-   of words over chunks; words with ``least`` occurrences get a global number, which a
-   join on ``(lang, word)`` and one on the chunk bring back into the texts.  No
-   dictionary is broadcast, only a Bloom filter of bounded size that leaves rare words
-   out of the join.  They become breaks: no candidate holds one.
+   they come, and the text as these numbers, 0 between pieces.  Spark deals the words
+   of chunks out to buckets by a hash; a bucket sums their counts up, numbers those
+   with ``least`` occurrences and sends each chunk one list of its numbers, which a
+   join on the chunk brings back into the texts.  No dictionary is broadcast, and no
+   join has a row for each chunk and word.  Other words become breaks: no candidate
+   holds one.
 2. **Grams**, one length after the other.  The numbers of a gram, ``bits`` wide each,
    are packed, and the packed number goes through an invertible permutation.  Its high
    bits are the quotient, all others the remainder, so a filter loses nothing: it holds
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sourcemine.llm.common import numbered, stored, stored_from_texts
+from sourcemine.llm.common import stored, stored_from_texts
 from sourcemine.storage import BATCH_SETTING, _settings
 
 LONGEST, LEAST, SHARE, SCALE, TOP = 5, 100, 100, 1000, 2000
@@ -52,6 +53,7 @@ FILTER_ENTRIES = 1 << 20  # of one task, before it sends them on
 SEGMENT_ENTRIES = 1 << 21  # expected at most in a segment, over all tasks
 BLOOM_BITS = 26
 CHUNKS_PER_ARROW_BATCH = 2
+LEAST_BUCKETS, BUCKET_WORDS = 64, 1 << 18  # of words; expected in a bucket, over all chunks
 
 _SMALL = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz......... "
@@ -133,47 +135,108 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return stored_from_texts(found.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
-def frequent_words(chunks: DataFrame, least: int) -> DataFrame:
-    """``id, lang, word, f`` of frequent words; numbers begin at 1."""
-    pairs = F.explode(F.arrays_zip("words", "counts")).alias("pair")
-    met = chunks.select("lang", pairs).select("lang", F.col("pair.words").alias("word"), F.col("pair.counts").alias("n"))
-    totals = met.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = stored(numbered(totals, [F.col("lang"), F.col("word")], "words", name="id"), "numbered-words")
-    return words.withColumn("id", F.col("id") + 1)
+class Places(dict):
+    """Words of one language, numbered as they come on from those of all languages."""
 
+    def __init__(self, all_words: list[bytes]):
+        self.all_words = all_words
 
-def places_of(chunks: DataFrame, words: DataFrame, count: int) -> DataFrame:
-    """``chunk, local, id``: where the frequent words stand in their chunks.
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.all_words)
+        self.all_words.append(word)
+        return number
 
-    Most words of a chunk are rare.  A Bloom filter of the frequent ones, at most
-    ``BLOOM_BITS`` bits, leaves them out before the join; the join is exact."""
-    import xxhash
 
-    seed = 42  # of Spark's function of the same name
-    bloom = bloom_of(words.select(F.xxhash64("word").alias("hash")), count)
-    shared = chunks.sparkSession.sparkContext.broadcast(bloom)
+def dealt(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, lang, chunk, locals, words, counts``: the words of each chunk, dealt
+    out by a hash, with their numbers in the chunk; one row a bucket and chunk."""
+    import xxhash
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            for chunk, lang, own in zip(batch.column(0), batch.column(1), batch.column(2)):
-                own = own.values
-                hashes = np.fromiter((digest(w, seed) for w in own.to_pylist()), _U, len(own))
-                at = np.flatnonzero(shared.value.may_hold(hashes))
-                n = len(at)
-                columns = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array([lang.as_py()] * n, pa.string())]
-                columns += [pa.array(at + 1, pa.int64()), own.take(pa.array(at))]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "local", "word"])
-
-    found = chunks.select("chunk", "lang", "words").mapInArrow(met, "chunk bigint, lang string, local bigint, word binary")
-    return found.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
+            for chunk, lang, own, counts in zip(*(batch.column(i) for i in range(4))):
+                own, counts = own.values, counts.values
+                bucket = np.fromiter((digest(w) % buckets for w in own.to_pylist()), np.int64, len(own))
+                order = np.argsort(bucket, kind="stable")
+                met, starts = np.unique(bucket[order], return_index=True)
+                offsets = pa.array([*starts, len(order)], pa.int32())
+                columns = [pa.array(met), pa.array([lang.as_py()] * len(met), pa.string())]
+                columns.append(pa.array([chunk.as_py()] * len(met), pa.int64()))
+                for values in (pa.array(order + 1), own.take(pa.array(order)), counts.take(pa.array(order))):
+                    columns.append(pa.ListArray.from_arrays(offsets, values))
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "chunk", "locals", "words", "counts"])
+
+    kinds = "bucket bigint, lang string, chunk bigint, locals array<bigint>, words array<binary>, counts array<bigint>"
+    with_words = chunks.where(F.size("words") > 0).select("chunk", "lang", "words", "counts")
+    return with_words.mapInArrow(deal, kinds)
+
+
+def frequent_words(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """``id, lang, word, f`` of frequent words, numbers from 1 on without a gap; and
+    ``chunk, locals, ids``: where they stand in their chunks, a row a bucket.
+
+    A word of all chunks is in one bucket, where its counts are summed up and it gets
+    its number; what is sent back is a list for each chunk, not a row for each word."""
+
+    def settle(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_words: list[bytes] = []
+        known: dict[str, Places] = {}
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            columns = (batch.column(c) for c in ("lang", "chunk", "locals", "words", "counts"))
+            for lang, chunk, own, words, counts in zip(*columns):
+                places = known.setdefault(lang.as_py(), Places(all_words))
+                at = np.fromiter(map(places.__getitem__, words.as_py()), np.int64, len(words))
+                held.append((chunk.as_py(), own.values.to_numpy().astype(np.uint32), at, counts.values.to_numpy().copy()))
+        totals = np.zeros(len(all_words), np.int64)
+        for _, _, at, counts in held:
+            totals[at] += counts  # a chunk has a word once
+        often = totals >= least
+        number = np.cumsum(often) - 1
+        rows = []
+        for lang, places in known.items():
+            at = np.fromiter(places.values(), np.int64, len(places))
+            at = at[often[at]]
+            if len(at):
+                rows.append((None, lang, None, number[at], [all_words[i] for i in at], totals[at]))
+        for chunk, own, at, _ in held:
+            kept = often[at]
+            if kept.any():
+                rows.append((chunk, None, own[kept].astype(np.int64), number[at[kept]], None, None))
+        longs = pa.list_(pa.int64())
+        types = [pa.int64(), pa.string(), longs, longs, pa.list_(pa.binary()), longs]
+        for k in range(0, len(rows), 256):
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256]), types)]
+            bucket = pa.array([key[0].as_py()] * len(columns[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([bucket, *columns], ["bucket", "chunk", "lang", "locals", "numbers", "words", "f"])
+
+    pairs = chunks.agg(F.sum(F.size("words"))).first()[0] or 0
+    kinds = (
+        "bucket bigint, chunk bigint, lang string, locals array<bigint>, numbers array<bigint>, "
+        "words array<binary>, f array<bigint>"
+    )
+    buckets = max(LEAST_BUCKETS, pairs // BUCKET_WORDS)
+    settled = stored_from_texts(dealt(chunks, buckets).groupBy("bucket").applyInArrow(settle, kinds), "settled-words")
+    named = settled.where("chunk IS NULL")
+    sizes = named.groupBy("bucket").agg(F.sum(F.size("words")).alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(
+        sizes.select("bucket", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("start")), "word-starts"
+    )
+    words = named.join(starts, "bucket").select(
+        "lang", "start", F.explode(F.arrays_zip("numbers", "words", "f")).alias("w")
+    )
+    words = words.select((F.col("start") + F.col("w.numbers")).alias("id"), "lang", F.col("w.words").alias("word"), "w.f")
+    ids = F.transform("numbers", lambda x: x + F.col("start"))
+    places = settled.where("chunk IS NOT NULL").join(starts, "bucket").select("chunk", "locals", ids.alias("ids"))
+    return stored(words, "numbered-words"), places
 
 
 def encoded(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """``ids`` of each chunk: global numbers of frequent words, 0 for breaks."""
-    tables = places.groupBy("chunk").agg(
-        F.collect_list("local").alias("locals"), F.collect_list("id").alias("ids")
-    )
+    tables = places.groupBy("chunk").agg(F.collect_list(F.struct("locals", "ids")).alias("parts"))
+    tables = tables.select("chunk", F.flatten("parts.locals").alias("locals"), F.flatten("parts.ids").alias("ids"))
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -495,7 +558,7 @@ def mined(
     """Phrases of 2 to ``longest`` words that ``docs`` (``text, lang``) hold ``least``
     times or more: ``lang, rank, phrase, a, l, r, n, score``.  See the head of the module."""
     chunks = chunks_of(docs)
-    words = frequent_words(chunks, least)
+    words, places = frequent_words(chunks, least)
     totals = chunks.groupBy("lang").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")
     )
@@ -508,7 +571,7 @@ def mined(
     counts = words.select(raw_id.alias("gram"), "f")
     levels = []
     if last:
-        ids = encoded(chunks, places_of(chunks, words, last))
+        ids = encoded(chunks, places)
         bloom = None
         for n in range(2, longest + 1):
             level = counted(ids, Shape(n, max(1, last.bit_length())), facts["f"], least, bloom)

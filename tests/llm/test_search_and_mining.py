@@ -418,3 +418,23 @@ def test_near_copies_leave_no_working_tables(spark):
     labels = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._made[spark.sparkContext.applicationId][before:]]
     assert sorted(labels) == ["marked", "stay"]
     assert sorted(r["doc_id"] for r in df.collect()) == list(range(0, 40, 2))
+
+
+def test_words_of_chunks_come_back_as_lists(spark):
+    """One row a chunk and bucket, however many words a chunk has; numbers without a gap."""
+    rows = [(f"w{i} w{i + 1} a. rare{i}x{k}", ("en", None, "de")[k % 3]) for k in range(30) for i in range(200)]
+    chunks = collocations.chunks_of(spark.createDataFrame(rows, "text string, lang string").repartition(8))
+    words, places = collocations.frequent_words(chunks, 10)
+    got = words.collect()
+    assert sorted(r["id"] for r in got) == list(range(1, len(got) + 1))
+    want = Counter((lang or "und", w) for text, lang in rows for w in text.replace(".", "").split())
+    assert {(r["lang"], bytes(r["word"]).decode()): r["f"] for r in got} == {k: n for k, n in want.items() if n >= 10}
+    word = {r["id"]: (r["lang"], bytes(r["word"])) for r in got}
+    of = {r["chunk"]: (r["lang"], r["words"]) for r in chunks.collect()}
+    met = places.collect()
+    for r in met:
+        lang, own = of[r["chunk"]]
+        assert [word[i] for i in r["ids"]] == [(lang, own[k - 1]) for k in r["locals"]]
+    n = sum(len(r["ids"]) for r in met)
+    assert n == sum((lang, w) in set(word.values()) for lang, own in of.values() for w in own)
+    assert len(met) <= collocations.LEAST_BUCKETS * len(of) and n > len(met)
