@@ -10,14 +10,22 @@ the set, its ``SAMPLE`` least shingles by a seeded hash, which must be equal.  T
 of similarity 0.8 share a sample fingerprint with probability
 ``1 - (1 - 0.8 ** 3) ** 8 = 0.997``.  Texts that share a fingerprint meet in a bucket.
 
-Every candidate is checked on the whole sets: in each bucket all texts with the least
-one (the hub), those that are not like it once more with the least of them, and what
-is then left, texts of a bucket that are not alike as a rule, in pairs whose sketches
-agree in ``ALIKE`` of ``SKETCH`` places (0.9993 of the pairs at 0.8).  So a large group of
-copies gives one link a text and not all pairs, and no bucket is capped.  Checked
-links make the groups; of each the row with the least id stays (null last), of equal
-ids the first row.  Texts without a word are copies of each other.  Repeated rows are
-copies.  All columns come back as they were, whatever their names.
+Texts that share a bucket are compared by their rare shingles.  The shingles of a set
+stand in ascending order of how many sets have them, and only the first of them are
+filed: two sets of similarity 0.8 share one of these, early enough in both, and parities
+of their shingles in ``BITS`` places differ in few, three conditions that lose no pair.
+Of each filed shingle first all texts meet the one that has it earliest (the hub, the
+text that a group has in common), and every such pair is checked on the whole sets;
+then meet those pairs whose texts are not in one group yet.  So a large group of copies
+gives one link a text and a shingle and not all pairs, one of texts that are not alike
+gives next to none, and no similar pair of two groups is left out.
+
+Checked links make the groups; of each the row with the least id stays (null last), of
+equal ids the first row.  Texts without a word are copies of each other.  Repeated rows
+are copies.  All columns come back as they were, whatever their names.
+
+Texts never move.  Which rows are asked for is known by row number, 64 of them in one
+word of bits; the words are broadcast up to ``MOST_WORDS``, and joined beyond that.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemine.llm import simhash
@@ -37,8 +45,8 @@ from sourcemine.storage import passing
 
 SHINGLE, SIMILAR = 5, (4, 5)  # words, and 4 / 5 as whole numbers
 TABLES, SAMPLE = 8, 3
-SKETCH, ALIKE = 16, 8
-HUBS = 2
+BITS = 512
+MOST_WORDS = 1 << 22  # of 64 rows each
 CACHED_WORDS = 300_000
 SEED = 42
 
@@ -91,12 +99,12 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def marks(text: str | None, known: Words) -> tuple[int, int, int, int, list[int], list[int]]:
-    """Two sums and the size of the set, which name it; its fingerprint, those of its
-    samples, and its sketch."""
+def marks(text: str | None, known: Words) -> tuple[int, int, int, int, list[int]]:
+    """Two sums and the size of the set, which name it; its fingerprint and those of its
+    samples."""
     found = shingles(text, known)
     if not len(found):
-        return 0, 0, 0, 0, [], []
+        return 0, 0, 0, 0, []
     own = _mixed(found)
     names = [int(x.sum(dtype=_U).view(np.int64)) for x in (found, own)]
     samples = []
@@ -104,40 +112,66 @@ def marks(text: str | None, known: Words) -> tuple[int, int, int, int, list[int]
         keys = _mixed(own ^ _seed(t, 0xD6E8FEB86659FD93))
         k = min(SAMPLE, len(keys))
         samples.append(majority(np.partition(keys, k - 1)[:k]))
-    sketch = [int(_mixed(own ^ _seed(t, 0xA0761D6478BD642F)).min().view(np.int64)) for t in range(SKETCH)]
-    return *names, len(found), majority(found), samples, sketch
+    return *names, len(found), majority(found), samples
 
 
-_MARKS = "d1 bigint, d2 bigint, n bigint, whole bigint, samples array<bigint>, sketch array<bigint>"
+_MARKS = "d1 bigint, d2 bigint, n bigint, whole bigint, samples array<bigint>"
 
 
 def _marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     known = Words()
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
     names = [part.split()[0] for part in _MARKS.split(", ")]
     for texts in batches:
-        columns = list(zip(*(marks(text.as_py(), known) for text in texts))) or [()] * 6
+        columns = list(zip(*(marks(text.as_py(), known) for text in texts))) or [()] * 5
         yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """Whether the number of shingles at each of ``BITS`` places is odd."""
+    odd = np.bincount((_mixed(found) % _U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
+_SET = "set array<bigint>, odd array<bigint>"
+
+
 def _shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    known = Words()
+    known, kind = Words(), pa.list_(pa.int64())
     for texts in batches:
-        found = [shingles(text.as_py(), known).view(np.int64) for text in texts]
-        yield pa.array(found, pa.list_(pa.int64()))
+        found = [shingles(text.as_py(), known) for text in texts]
+        columns = [x.view(np.int64) for x in found], [parities(x) for x in found]
+        yield pa.StructArray.from_arrays([pa.array(c, kind) for c in columns], ["set", "odd"])
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)``, stored, that are similar, by their whole sets.  Where few
-    pairs are left, only the sets of these travel."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    sets = sets.join(asked, "class", "left_semi")
-    a = sets.select(F.col("class").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("class").alias("v"), F.col("set").alias("b"))
-    common = F.size(F.array_intersect("a", "b")).cast("long")
+def _words(rows: DataFrame, key: str) -> DataFrame:
+    """``word, bits`` of the row numbers in a column, 64 to a word."""
+    bit = F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")
+    return rows.groupBy(F.shiftright(key, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _asked(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """The rows whose number is in ``words`` (stored).  They stay where they are, unless
+    the words are too many for a broadcast."""
+    few = words.count() <= MOST_WORDS
+    met = rows.join(F.broadcast(words) if few else words, F.shiftright(key, 6) == F.col("word"))
+    return met.where(F.expr(f"shiftright(bits, CAST({key} & 63 AS INT)) & 1 = 1")).drop("word", "bits")
+
+
+def _alike(common: Column, n: Column) -> Column:
+    """Whether so many common shingles of ``n`` in both sets together are enough."""
     least, of = SIMILAR
-    alike = of * common >= least * (F.size("a") + F.size("b") - common)
-    return pairs.join(a, "u").join(b, "v").where(alike).select("u", "v")
+    return of * common >= least * (n - common)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)``, stored, that are similar, by their whole sets, of which only
+    those that are asked for travel."""
+    for name, own in (("u", "a"), ("v", "b")):
+        words = stored(_words(pairs, name), "words")
+        pairs = pairs.join(_asked(sets, "class", words).select(F.col("class").alias(name), F.col("set").alias(own)), name)
+    common = F.size(F.array_intersect("a", "b"))
+    return pairs.where(_alike(common, F.size("a") + F.size("b"))).select("u", "v")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -154,26 +188,54 @@ def buckets(classes: DataFrame) -> DataFrame:
     return stored(found.join(shared, "bucket"), "shared-buckets")
 
 
-def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Checked links ``(u, v)`` of ``classes``; ``texts``: ``class, text``."""
-    left = buckets(classes)
-    asked = texts.join(left.select("class").distinct(), "class")
-    sets = stored_from_texts(asked.select("class", F.arrow_udf("array<bigint>")(_shingles)("text").alias("set")), "sets")
-    found = []
-    for _ in range(HUBS):
-        hubs = left.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("of")).where("of > 1")
-        met = stored(left.join(hubs.select("bucket", "hub"), "bucket").where("class != hub"), "met")
-        pairs = stored(met.select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
-        found.append(stored(_checked(pairs, sets), "links"))
-        done = found[-1].select(F.col("u").alias("class"), F.col("v").alias("hub"))
-        left = stored(met.join(done, ["class", "hub"], "left_anti").select("bucket", "class"), "left")
-    known = left.join(classes.select("class", "sketch"), "class")
-    a = known.select("bucket", F.col("class").alias("u"), F.col("sketch").alias("a"))
-    b = known.select("bucket", F.col("class").alias("v"), F.col("sketch").alias("b"))
-    same = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = a.join(b, "bucket").where((F.col("u") > F.col("v")) & (same >= ALIKE)).select("u", "v").distinct()
-    found.append(_checked(stored(pairs, "pairs"), sets))
-    return reduce(DataFrame.union, found)
+def filed(sets: DataFrame) -> DataFrame:
+    """``shingle, class, n, most, w0, w1`` and so on: the first shingles of each set of
+    ``n``, with how many are ``most`` left from there on, and the parities.
+
+    Shingles that no other set has come first and need no row.
+    """
+    least, of = SIMILAR
+    each = sets.select("class", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("of")).where("of > 1")
+    ranked = F.array_sort(F.collect_list(F.struct("of", "shingle")))
+    known = each.join(often, "shingle").groupBy("class", "n").agg(ranked.alias("known"))
+    first = F.expr(f"n * {of - least} div {of} + 1 - (n - size(known))").cast("int")
+    shown = F.posexplode(F.slice("known", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "entry")
+    bits = [F.col("odd")[k].alias(f"w{k}") for k in range(BITS // 64)]
+    rows = known.select("class", "n", F.size("known").alias("of"), shown)
+    return rows.join(sets.select("class", *bits), "class").select(
+        F.col("entry.shingle").alias("shingle"), "class", "n", (F.col("of") - F.col("at")).alias("most"), *[f"w{k}" for k in range(BITS // 64)]
+    )
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """No pair of filed rows that meet at their first common shingle fails this."""
+    least, of = SIMILAR
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(BITS // 64)])
+    return _alike(F.least(f"{a}.most", f"{b}.most"), both) & ((of + least) * differ <= (of - least) * both)
+
+
+def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Checked links ``(u, v)`` of ``classes`` that make the groups; ``rows``: ``row, doc.text``."""
+    asked = stored(_words(buckets(classes), "class"), "words")
+    texts = _asked(rows.select("row", "doc.text"), "row", asked)
+    sets = texts.select(F.col("row").alias("class"), F.arrow_udf(_SET)(_shingles)("text").alias("s"))
+    sets = stored_from_texts(sets.select("class", "s.*"), "sets")
+    shown = stored(filed(sets), "filed")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.greatest("a.class", "b.class").alias("u"), F.least("a.class", "b.class").alias("v"))
+        return stored(_checked(stored(ordered.distinct(), "pairs"), sets), "links")
+
+    own = F.struct((F.col("n") - F.col("most")).alias("place"), *[c for c in shown.columns if c != "shingle"])
+    hubs = shown.groupBy("shingle").agg(F.min(own).alias("hub")).select("shingle", "hub.*")
+    met = shown.alias("a").join(hubs.alias("b"), "shingle").where((F.col("a.class") != F.col("b.class")) & _may_be_alike("a", "b"))
+    found = checked(met)
+    roots = components(found).select(F.col("u").alias("class"), "root")
+    named = stored(shown.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "named")
+    apart = (F.col("a.class") > F.col("b.class")) & (F.col("a.root") != F.col("b.root"))
+    return found.union(checked(named.alias("a").join(named.alias("b"), "shingle").where(apart & _may_be_alike("a", "b"))))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -181,8 +243,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = stored_from_texts(rows.select("*", F.arrow_udf(_MARKS)(_marks)("doc.text").alias("m")), "marked", DENSE)
     with passing(docs.sparkSession, "stay"):  # of all that finds them only the rows are left
-        stay = stored(_staying(rows), "stay")
-    return rows.join(stay, "row", "left_semi").select("doc.*")
+        stay = stored(_words(_staying(rows), "row"), "stay")
+    return _asked(rows, "row", stay).select("doc.*")
 
 
 def _staying(rows: DataFrame) -> DataFrame:
@@ -192,11 +254,10 @@ def _staying(rows: DataFrame) -> DataFrame:
     classes = rows.groupBy("m.d1", "m.d2", "m.n").agg(
         F.min("row").alias("class"),
         first.alias("first"),
-        *[F.first(f"m.{name}").alias(name) for name in ("whole", "samples", "sketch")],
+        *[F.first(f"m.{name}").alias(name) for name in ("whole", "samples")],
     )
     classes = stored(classes, "classes")
-    texts = rows.select(F.col("row").alias("class"), F.col("doc.text").alias("text"))
-    roots = components(links(classes, texts)).withColumnRenamed("u", "class")
+    roots = components(links(classes, rows)).withColumnRenamed("u", "class")
     named = classes.select("class", "first").join(roots, "class", "left")
     stay = named.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
     return stay.select(F.col("first.row").alias("row"))

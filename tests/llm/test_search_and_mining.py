@@ -420,6 +420,50 @@ def test_near_copies_leave_no_working_tables(spark):
     assert sorted(r["doc_id"] for r in df.collect()) == list(range(0, 40, 2))
 
 
+def test_a_group_of_near_copies_gives_no_square_of_pairs(spark, monkeypatch):
+    """Texts that come first are like none or few of the group; all groups as by brute force."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(340):
+        words = list(base)
+        for _ in range(rng.randint(4, 8) if k < 40 else rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = f"n{k % 97}x{rng.randint(0, 30)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"v{rng.randint(0, 900)}" for _ in range(60)) for _ in range(60)] + [None, "", "w1 w2"]
+    made = Counter()
+
+    def counted(df, label, codec=None):
+        table = stored(df, label, codec)
+        made[label] += table.count()
+        return table
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    kept = sorted(r["doc_id"] for r in near_copies.one_of_each(df).collect())
+    assert made["pairs"] <= 8 * len(texts) and made["links"] <= 8 * len(texts)
+    known = near_copies.Words()
+    sets = [set(near_copies.shingles(t, known).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert kept == sorted(set(root)) and 60 < len(kept) < 140
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_rows_are_found_by_their_number(spark, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "MOST_WORDS", most)
+    rows = spark.range(0, 5000).selectExpr("id + ((id % 3) << 33) as row", "id")
+    asked = rows.where("id % 7 = 0 or id < 70").withColumnRenamed("row", "class").union(rows.where("id = 7"))
+    words = stored(near_copies._words(asked, "class"), "words")
+    got = near_copies._asked(rows, "row", words)
+    assert got.columns == ["row", "id"]
+    assert sorted(r["id"] for r in got.collect()) == [i for i in range(5000) if i % 7 == 0 or i < 70]
+
+
 def test_words_of_chunks_come_back_as_lists(spark):
     """One row a chunk and bucket, however many words a chunk has; numbers without a gap."""
     rows = [(f"w{i} w{i + 1} a. rare{i}x{k}", ("en", None, "de")[k % 3]) for k in range(30) for i in range(200)]
